@@ -56,3 +56,12 @@ class Scratch:
         jvm = self.spark.sparkContext._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan dealt out over all cores where its files give fewer splits than that; larger scans stay as they are.
+
+    Only for plain scans ahead of costly Python work: counting the splits plans the frame.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(3 * cores) if scan._jdf.queryExecution().toRdd().getNumPartitions() < 2 * cores else scan
