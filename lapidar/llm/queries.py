@@ -4,13 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lapidar.llm import bpe
+from lapidar.llm import bpe, language, residue
 from lapidar.runtime import spread, table
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "languages", "source"))
+    return language.unlabelled_paragraphs(docs, residue.residue(docs))
+
+
+def p4_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "languages"))
+    return language.document_languages(language.paragraph_languages(docs))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_ids(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
-QUERIES = {"p6_ids": p6_ids}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.residue(spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))).select("doc_id")
+
+
+QUERIES = {"p4_found": p4_found, "p4_documents": p4_documents, "p6_ids": p6_ids, "p8_found": p8_found}
 ORACLES: dict = {}
