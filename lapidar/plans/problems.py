@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lapidar.operators import nested
+from lapidar.operators import hierarchy, nested
 from lapidar.runtime import spread, table
 
 
@@ -16,5 +16,13 @@ def p1_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested.part_table(spread(table(spark, sf_dir, "zenon_records")))
 
 
-QUERIES = {"p1_found": p1_found, "p1_parts": p1_parts}
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hierarchy.Hierarchy(table(spark, sf_dir, "epochs").select("id", "parent_ids")).paths()
+
+
+def p5_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hierarchy.Hierarchy(table(spark, sf_dir, "epochs").select("id", "parent_ids")).descendants()
+
+
+QUERIES = {"p1_found": p1_found, "p1_parts": p1_parts, "p5_found": p5_found, "p5_descendants": p5_descendants}
 ORACLES: dict = {}
