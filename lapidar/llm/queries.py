@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lapidar.llm import bpe, language, residue
+from lapidar.llm import bpe, language, leaks, residue
 from lapidar.runtime import spread, table
 
 
@@ -22,9 +22,14 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_ids(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return leaks.leaked(docs, table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.residue(spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))).select("doc_id")
 
 
-QUERIES = {"p4_found": p4_found, "p4_documents": p4_documents, "p6_ids": p6_ids, "p8_found": p8_found}
+QUERIES = {"p4_found": p4_found, "p4_documents": p4_documents, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found}
 ORACLES: dict = {}
