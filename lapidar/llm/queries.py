@@ -4,10 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lapidar.llm import bpe, language, leaks, residue
+from lapidar.llm import bpe, language, leaks, residue, sentences
 from lapidar.runtime import spread, table
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spread(table(spark, sf_dir, "timeml_docs").select("tml_id", "text"))
+    return sentences.sentence_units(docs).select("tml_id", "start_pos", "end_pos")
+
+
+def p2_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spread(table(spark, sf_dir, "timeml_docs").select("tml_id", "text"))
+    return sentences.sentence_units(docs)
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "languages", "source"))
     return language.unlabelled_paragraphs(docs, residue.residue(docs))
@@ -31,5 +41,5 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.residue(spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))).select("doc_id")
 
 
-QUERIES = {"p4_found": p4_found, "p4_documents": p4_documents, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found}
+QUERIES = {"p2_found": p2_found, "p2_sentences": p2_sentences, "p4_found": p4_found, "p4_documents": p4_documents, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found}
 ORACLES: dict = {}

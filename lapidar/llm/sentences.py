@@ -51,6 +51,7 @@ _TOKEN = regex.compile(
 _BREAK = regex.compile(r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]")
 _EDGE = regex.compile(r"[\s\p{Z}\p{Cf}\p{Cc}]+")
 _HIDDEN = regex.compile(r"\p{Cf}+")
+_CHUNK = regex.compile(r"[^ \t]+(?:[ \t]{2,}[^ \t]+)*")  # wrapping breaks at single spaces only
 _OMISSION = regex.compile(r"\[(?:\.\.\.|…)\]\s*\p{Ll}")
 _ENDS = regex.compile(r"[.!?…。！？｡।॥؟۔]$")
 _GREEK = regex.compile(r"\p{Greek}")
@@ -84,11 +85,11 @@ def _lines(text: str) -> list[tuple[int, int, bool]]:
     for i, (a, b) in enumerate(spans):
         joined = False
         if i and shown[i] and shown[i - 1]:
-            first = text[a:b].split(None, 1)[0]
+            first = _CHUNK.search(text, a, b).group()
             if widest <= WIDEST and len(spans) > 1:
                 joined = shown[i - 1] + 1 + len(first) > widest
             # a line that stops without end mark before a small letter was broken in any case
-            if not joined and first[0].islower() and not _ENDS.search(text[spans[i - 1][0] : spans[i - 1][1]].rstrip()):
+            if not joined and text[a:b].lstrip()[0].islower() and not _ENDS.search(text[spans[i - 1][0] : spans[i - 1][1]].rstrip()):
                 joined = True
         out.append((a, b, joined))
     return out
@@ -363,8 +364,8 @@ def _settle(counts: dict[tuple[str, str, str, int], int]) -> dict[tuple[str, str
         both = [k for k in certain if k[0] == side and not k[1] and k in hidden]
         ratio[side] = sum(hidden[k] for k in both) / max(1.0, sum(certain[k] for k in both))
 
-    def share(k: tuple[str, str, str]) -> float:
-        return min(1.0, ENOUGH * ratio[k[0]] * certain.get(k, 0.0) / hidden[k]) if hidden.get(k) else 0.0
+    def share(k: tuple[str, str, str], seen: float = 0.2) -> float:
+        return min(1.0, ENOUGH * ratio[k[0]] * (certain.get(k, 0.0) + seen) / hidden[k]) if hidden.get(k) else 0.0
 
     for (u, v, w, h), n in counts.items():
         if h == AFTER:
@@ -374,7 +375,7 @@ def _settle(counts: dict[tuple[str, str, str, int], int]) -> dict[tuple[str, str
         elif h == GAP:
             left = share(("left", "", v))
             if u and hidden["left", u, v] >= 10:
-                left = max(left, share(("left", u, v)))
+                left = max(left, share(("left", u, v), 0.0))
             x = left * share(("right", "", w))
             if x < 1:
                 out[u, v, w] += (1 - x) * n
