@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from lapidar.plans import problems
+from lapidar.plans import problems, text_queries
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _m in (problems,):
+for _m in (problems, text_queries):
     QUERIES |= _m.QUERIES
     ORACLES |= _m.ORACLES
