@@ -31,13 +31,13 @@ def decisions(gold: DataFrame, system: DataFrame, keys: list[str], attributes: t
     out.append(F.when(same, F.array(entry("TAG_STRICT", "", "TP"))).otherwise(F.array(entry("TAG_STRICT", "", "FP"), entry("TAG_STRICT", "", "FN"))))
     for a in attributes:
         gv, sv = F.coalesce(F.try_element_at(F.col("g.attrs"), F.lit(a)), F.lit("")), F.coalesce(F.try_element_at(F.col("s.attrs"), F.lit(a)), F.lit(""))
-        out.append(F.array(entry("ATTR", a, "ATTR_MATCH_POSSIBLE")))
+        out.append(F.array(entry("ATTRIBUTE", a, "ATTR_MATCH_POSSIBLE")))
         none = F.array().cast("array<struct<t:string,a:string,r:string>>")
-        out.append(F.when(gv == "", none).when(gv == sv, F.array(entry("ATTR", a, "TP"))).otherwise(F.array(entry("ATTR", a, "FP"), entry("ATTR", a, "FN"))))
+        out.append(F.when(gv == "", none).when(gv == sv, F.array(entry("ATTRIBUTE", a, "TP"))).otherwise(F.array(entry("ATTRIBUTE", a, "FP"), entry("ATTRIBUTE", a, "FN"))))
     both = pairs.select(*keys, F.col("g").alias("tag1"), F.col("s").alias("tag2"), F.explode(F.concat(*out)).alias("x"))
 
     def lone(df: DataFrame, result: str) -> DataFrame:
-        tasks = [entry("TAG_RELAXED", "", result), entry("TAG_STRICT", "", result), *(entry("ATTR", a, result) for a in attributes)]
+        tasks = [entry("TAG_RELAXED", "", result), entry("TAG_STRICT", "", result), *(entry("ATTRIBUTE", a, result) for a in attributes)]
         return df.select(*keys, F.col("t").alias("tag1"), F.lit(None).cast(both.schema["tag2"].dataType).alias("tag2"), F.explode(F.array(*tasks)).alias("x"))
 
     every = both.unionByName(lone(lone_g, "FN")).unionByName(lone(lone_s, "FP"))

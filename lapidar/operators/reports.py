@@ -6,20 +6,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+# Names of tasks, in full and short.
+ATTRIBUTE, RELAXED, STRICT = (f"task_type in ('{a}', '{b}')" for a, b in (("ATTRIBUTE", "ATTR"), ("TAG_RELAXED", "RELAXED"), ("TAG_STRICT", "STRICT")))
+
+
 def false_normalised(d: DataFrame) -> DataFrame:
-    return d.where("task_type = 'ATTR' and attr_name = 'value' and result_type = 'FN' and tag1_attr_value <> tag2_attr_value")
+    return d.where(f"{ATTRIBUTE} and attr_name = 'value' and result_type = 'FN' and tag1_attr_value <> tag2_attr_value")
 
 
 def false_positives(d: DataFrame) -> DataFrame:
-    return d.where("task_type = 'TAG_RELAXED' and result_type = 'FP'")
+    return d.where(f"{RELAXED} and result_type = 'FP'")
 
 
 def false_negatives(d: DataFrame) -> DataFrame:
-    return d.where("task_type = 'TAG_RELAXED' and result_type = 'FN'")
-
-
-def _id() -> Column:
-    return F.concat("tag1_basename", F.lit("_"), "tag1_attr_tid")
+    return d.where(f"{RELAXED} and result_type = 'FN'")
 
 
 def strict_mismatches(d: DataFrame) -> DataFrame:
@@ -28,10 +28,10 @@ def strict_mismatches(d: DataFrame) -> DataFrame:
     The two exclusions are null-aware: one null id in them leaves nothing, and a null id of one's own is never let through.
     As null-aware anti joins broadcast their right side, the rule is spelt out with plain anti joins and one look for nulls.
     """
-    own = d.where("task_type = 'TAG_STRICT' and result_type = 'FP'").withColumn("_id", _id())
+    own = d.where(f"{STRICT} and result_type = 'FP'").withColumn("_id", F.col("tag1_attr_tid"))
     out = own
     for other in (false_positives(d), false_normalised(d)):
-        ids = other.select(_id().alias("_id"))
+        ids = other.select(F.col("tag1_attr_tid").alias("_id"))
         nulls = ids.agg(F.count_if(F.col("_id").isNull()).alias("nulls"), F.count("*").alias("n"))  # one row
         kept = out.join(ids.where("_id is not null").distinct(), "_id", "left_anti")
         out = kept.crossJoin(F.broadcast(nulls)).where("nulls = 0 and (n = 0 or _id is not null)").drop("nulls", "n")
@@ -58,5 +58,6 @@ def histogram_sum(h: DataFrame) -> DataFrame:
 
 def histogram_mean(h: DataFrame, texts: int | Column) -> DataFrame:
     """Mean over all texts of each text's shares, rounded to four places before and after."""
-    share = F.round(F.col("n") / F.col("occurrences"), 4)
-    return h.groupBy("bin").agg(F.sum(share.cast("decimal(20,4)")).alias("s")).select("bin", F.round(F.col("s").cast("double") / texts, 4).alias("mean"))
+    # in whole ten-thousandths, halves up
+    share = F.expr("(20000 * n + occurrences) div (2 * occurrences)")
+    return h.groupBy("bin").agg(F.sum(share).alias("s")).select("bin", (F.floor((2 * F.col("s") + texts) / (2 * texts)) / 10000).alias("mean"))

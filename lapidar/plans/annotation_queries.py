@@ -188,13 +188,13 @@ dec as (
   select doc_id, lit, 'TAG_RELAXED' as task_type, '' as attr_name, 'TP' as result_type from pairs
   union all select doc_id, lit, 'TAG_STRICT', '', 'TP' from pairs where gt = st
   union all select doc_id, lit, 'TAG_STRICT', '', unnest(['FP', 'FN']) from pairs where gt <> st
-  union all select doc_id, lit, 'ATTR', unnest(['type', 'value']), 'ATTR_MATCH_POSSIBLE' from pairs
-  union all select doc_id, lit, 'ATTR', 'type', 'TP' from pairs where g_type <> '' and g_type = s_type
-  union all select doc_id, lit, 'ATTR', 'type', unnest(['FP', 'FN']) from pairs where g_type <> '' and g_type <> s_type
-  union all select doc_id, lit, 'ATTR', 'value', 'TP' from pairs where g_value <> '' and g_value = s_value
-  union all select doc_id, lit, 'ATTR', 'value', unnest(['FP', 'FN']) from pairs where g_value <> '' and g_value <> s_value
-  union all select doc_id, lit, unnest(['TAG_RELAXED', 'TAG_STRICT', 'ATTR', 'ATTR']), unnest(['', '', 'type', 'value']), 'FN' from lg
-  union all select doc_id, lit, unnest(['TAG_RELAXED', 'TAG_STRICT', 'ATTR', 'ATTR']), unnest(['', '', 'type', 'value']), 'FP' from ls)"""
+  union all select doc_id, lit, 'ATTRIBUTE', unnest(['type', 'value']), 'ATTR_MATCH_POSSIBLE' from pairs
+  union all select doc_id, lit, 'ATTRIBUTE', 'type', 'TP' from pairs where g_type <> '' and g_type = s_type
+  union all select doc_id, lit, 'ATTRIBUTE', 'type', unnest(['FP', 'FN']) from pairs where g_type <> '' and g_type <> s_type
+  union all select doc_id, lit, 'ATTRIBUTE', 'value', 'TP' from pairs where g_value <> '' and g_value = s_value
+  union all select doc_id, lit, 'ATTRIBUTE', 'value', unnest(['FP', 'FN']) from pairs where g_value <> '' and g_value <> s_value
+  union all select doc_id, lit, unnest(['TAG_RELAXED', 'TAG_STRICT', 'ATTRIBUTE', 'ATTRIBUTE']), unnest(['', '', 'type', 'value']), 'FN' from lg
+  union all select doc_id, lit, unnest(['TAG_RELAXED', 'TAG_STRICT', 'ATTRIBUTE', 'ATTRIBUTE']), unnest(['', '', 'type', 'value']), 'FP' from ls)"""
 _PR = """case when tp + fp = 0 then 'nan'::double else tp::double / (tp + fp) end as p, case when tp + fn = 0 then 'nan'::double else tp::double / (tp + fn) end as r"""
 
 
@@ -215,8 +215,8 @@ def _eval_sql(where: str) -> str:
 _POS = "(select distinct tag1_basename as basename, tag1_text_pos_start as pos from decisions where tag1_is_gold and tag1_text_pos_start is not null)"
 _HIST = f"""(select basename, bin, n, sum(n) over (partition by basename)::bigint as occurrences from (
     select p.basename, (20 * p.pos::bigint) // t.chars as bin, count(*) as n from {_POS} p join (select doc as basename, length(text) as chars from timeml_docs) t on p.basename = t.basename and t.chars > 0 group by 1, 2))"""
-_FP = "select tag1_basename || '_' || tag1_attr_tid from decisions where task_type = 'TAG_RELAXED' and result_type = 'FP'"
-_FN = "task_type = 'ATTR' and attr_name = 'value' and result_type = 'FN' and tag1_attr_value <> tag2_attr_value"
+_FP = "select tag1_attr_tid from decisions where task_type in ('TAG_RELAXED', 'RELAXED') and result_type = 'FP'"
+_FN = "task_type in ('ATTRIBUTE', 'ATTR') and attr_name = 'value' and result_type = 'FN' and tag1_attr_value <> tag2_attr_value"
 ORACLES = {
     "eval_relaxed_strict": _eval_sql("true"),
     "eval_filtered_attr": _eval_sql("not lit"),
@@ -229,7 +229,7 @@ ORACLES = {
         select base, min(path) as path from (select distinct regexp_extract(doc, '^([^_]+_text_[0-9]+)', 1) as base from timeml_docs where doc is not null) join runs using (base) group by 1""",
     "position_histogram": f"select basename, bin, n, occurrences from {_HIST}",
     "histogram_total": f"select bin, sum(n)::bigint as n from {_HIST} group by 1",
-    "histogram_weighted": f"select bin, round(sum(round(n / occurrences, 4)::decimal(20,4))::double / (select count(*) from timeml_docs), 4) as mean from {_HIST} group by 1",
+    "histogram_weighted": f"select bin, ((2 * sum((20000 * n + occurrences) // (2 * occurrences)) + (select count(*) from timeml_docs)) // (2 * (select count(*) from timeml_docs)))::double / 10000 as mean from {_HIST} group by 1",
     "tag_frequency": f"with {SQL_W} select t as text, count(*) as n from gold group by 1",
     "tag_line_counts": f"with {SQL_W} select doc_id, count(*) filter (n > 2) as n_lines from (select doc_id, line_no, max(n) as n from words group by 1, 2) group by 1",
     "tag_unique_total": f"with {SQL_W} select coalesce(lang, '?') as lang, count(*) as total, count(distinct t) as uniq from gold join documents using (doc_id) group by 1",
@@ -250,12 +250,12 @@ ORACLES = {
     "label_encoder": f"with {SQL_TOKENS} select tag, row_number() over (order by tag) - 1 as code from (select distinct tag from tok)",
     "padded_codes": f"with {SQL_W} select doc_id, line_no, array_to_string(list_resize(list_transform(w[1:8], lambda x: length(x)), 8, 0), ',') as codes from w0 where len(w) > 0",
     "report_false_normalised": f"select decision_id, tag1_attr_value, tag2_attr_value from decisions where {_FN}",
-    "report_false_positive": "select decision_id, tag1_basename, tag1_text from decisions where task_type = 'TAG_RELAXED' and result_type = 'FP'",
-    "report_false_negative": "select decision_id, tag1_basename, tag1_text from decisions where task_type = 'TAG_RELAXED' and result_type = 'FN'",
-    "report_strict_mismatch": f"""select decision_id, tag1_basename, tag1_attr_tid from decisions where task_type = 'TAG_STRICT' and result_type = 'FP'
-        and tag1_basename || '_' || tag1_attr_tid not in ({_FP}) and tag1_basename || '_' || tag1_attr_tid not in (select tag1_basename || '_' || tag1_attr_tid from decisions where {_FN})""",
-    "report_strict_mismatch_known": f"""with decisions as (select * from main.decisions where tag1_attr_tid is not null) select decision_id, tag1_attr_tid from decisions where task_type = 'TAG_STRICT' and result_type = 'FP'
-        and tag1_basename || '_' || tag1_attr_tid not in ({_FP}) and tag1_basename || '_' || tag1_attr_tid not in (select tag1_basename || '_' || tag1_attr_tid from decisions where {_FN})""",
+    "report_false_positive": "select decision_id, tag1_basename, tag1_text from decisions where task_type in ('TAG_RELAXED', 'RELAXED') and result_type = 'FP'",
+    "report_false_negative": "select decision_id, tag1_basename, tag1_text from decisions where task_type in ('TAG_RELAXED', 'RELAXED') and result_type = 'FN'",
+    "report_strict_mismatch": f"""select decision_id, tag1_basename, tag1_attr_tid from decisions where task_type in ('TAG_STRICT', 'STRICT') and result_type = 'FP'
+        and tag1_attr_tid not in ({_FP}) and tag1_attr_tid not in (select tag1_attr_tid from decisions where {_FN})""",
+    "report_strict_mismatch_known": f"""with decisions as (select * from main.decisions where tag1_attr_tid is not null) select decision_id, tag1_attr_tid from decisions where task_type in ('TAG_STRICT', 'STRICT') and result_type = 'FP'
+        and tag1_attr_tid not in ({_FP}) and tag1_attr_tid not in (select tag1_attr_tid from decisions where {_FN})""",
     "bio_tokens": rf"""with {SQL_W}, x as (select w.doc_id, w.line_no, w.i, len(regexp_extract_all(w.w, '[\p{{L}}\p{{M}}\p{{N}}_]+(?:[''’][\p{{L}}\p{{M}}]+)?|[^\t\n\x0b\f\r \p{{L}}\p{{M}}\p{{N}}_]')) as c, s.i as si, p.i as pi
           from words w left join system s on s.doc_id = w.doc_id and s.line_no = w.line_no and s.i = w.i left join sys0 p on p.doc_id = w.doc_id and p.line_no = w.line_no and p.i = w.i - 1 and p.two)
         select doc_id, line_no, (count(*) filter (si is not null and c > 0) + count(*) filter (si is null and pi is not null and false))::bigint as b,
