@@ -33,7 +33,7 @@ def split_text(text: Column, abbreviations: str = ABBREVIATIONS) -> Column:
         return F.when(open_, joined).otherwise(F.concat(acc, F.array(part)))
 
     folded = F.aggregate(parts, F.array().cast("array<string>"), step)
-    return F.filter(F.transform(folded, F.trim), lambda s: s != "")
+    return F.filter(F.transform(folded, lambda s: F.trim(s)), lambda s: s != "")
 
 
 def rule_sentences(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -8,10 +8,6 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, InputPartition, IsNotNull
 
-FETCHERS: dict[str, Callable[[dict], dict]] = {}
-"""Named functions from request parameters to a decoded answer with resultCount and records."""
-
-
 class _Page(InputPartition):
     def __init__(self, page: int):
         self.page = page
@@ -43,7 +39,8 @@ class PagedReader(DataSourceReader):
 
 
 def register(spark: SparkSession, name: str, fetch: Callable[[dict], dict]) -> None:
-    """Makes spark.read.format(name) read the service that fetch asks. Options: type, limit."""
+    """Makes spark.read.format(name) read the service that fetch asks. Options: type, limit. Switches on filter pushdown for Python sources."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 
     class Paged(DataSource):
         @classmethod
