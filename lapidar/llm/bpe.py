@@ -57,6 +57,8 @@ def vocabulary(path: str) -> Vocabulary:
 
 def encode_block(words: list[bytes], voc: Vocabulary) -> list[list[int]]:
     """Ids of each word; all words of the block share one pair occurrence index."""
+    if not words:
+        return []
     sym: list[int] = []
     starts = []
     for w in words:
