@@ -97,6 +97,20 @@ def span_rows(lines: DataFrame, keys: list[str], markup: str = "line", lower: bo
     )
 
 
+def tags_by_line(lines: DataFrame, keys: list[str], name: str, markup: str = "line") -> DataFrame:
+    """(keys, tags): the elements of that name in each line as one array, with text, attributes and inclusive positions; no shuffle."""
+    s = lines.select(*keys, plain_text(F.col(markup)).alias("plain"), F.filter(spans(F.col(markup)), lambda x: F.lower(x["name"]) == name).alias("s"))
+    full = lambda x: x["end"] > x["start"]
+    tag = lambda x: F.struct(
+        x["tag_seq"].alias("tag_seq"),
+        F.substring(F.col("plain"), x["start"] + 1, x["end"] - x["start"]).alias("text"),
+        x["attrs"].alias("attrs"),
+        F.when(full(x), x["start"]).alias("start_in_line"),
+        F.when(full(x), x["end"] - 1).alias("end_in_line"),
+    )
+    return s.select(*keys, F.transform("s", tag).alias("tags"))
+
+
 # -- rewriting
 
 
@@ -185,6 +199,23 @@ def unwrap_outside_window(markup: Column, window: str = "annotation-window", kee
     return _with_ancestors(markup, change)
 
 
+def with_creation_date(markup: Column, date: str) -> Column:
+    """A document creation date as the first element."""
+    return F.concat(F.lit(f'<DCT><TIMEX3 tid="t0" type="DATE" value="{date}" functionInDocument="CREATION_TIME">{date}</TIMEX3></DCT>'), markup)
+
+
+def numbered_tids(markup: Column, first: Column, name: str = "TIMEX3") -> Column:
+    """Gives the elements of that name running tids from first on, in document order."""
+
+    def step(acc: Column, p: Column) -> Column:
+        mine = ~is_text(p) & ~p.startswith("</") & (tag_name(p) == name)
+        others = F.map_filter(attributes(p), lambda k, _: k != "tid")
+        new = _rewritten(p, tag_name(p), F.map_concat(F.create_map(F.lit("tid"), F.concat(F.lit("t"), acc["n"].cast("string"))), others))
+        return F.struct(F.when(mine, acc["n"] + 1).otherwise(acc["n"]).alias("n"), F.concat(acc["out"], F.when(mine, new).otherwise(p)).alias("out"))
+
+    return F.aggregate(pieces(markup), F.struct(first.cast("bigint").alias("n"), F.lit("").alias("out")), step, lambda a: a["out"])
+
+
 def to_temponym(markup: Column) -> Column:
     """temponym, temponym-fn and dne become TIMEX3 of type TEMPONYM, with their old type as value."""
     new = lambda _, a: F.create_map(F.lit("type"), F.lit("TEMPONYM"), F.lit("value"), F.coalesce(F.try_element_at(a, F.lit("type")), F.lit("")))

@@ -7,41 +7,59 @@ from pyspark.sql import functions as F
 
 
 
+TAG = "struct<tag_seq:int,text:string,attrs:map<string,string>,start_in_line:int,end_in_line:int>"
+_ENTRY = "array<struct<task_type:string,attr_name:string,result_type:string,tag1:%s,tag2:%s>>" % (TAG, TAG)
+
+
+def by_line(tags: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, tags): a line's tags as one array, of rows with tag_seq, text, attrs, start_in_line, end_in_line (inclusive)."""
+    tag = F.struct("tag_seq", "text", "attrs", "start_in_line", "end_in_line").cast(TAG)
+    return tags.groupBy(*keys).agg(F.collect_list(tag).alias("tags"))
+
+
 def decisions(gold: DataFrame, system: DataFrame, keys: list[str], attributes: tuple[str, ...] = ("type", "value")) -> DataFrame:
     """(task_type, attr_name, result_type, keys, tag1, tag2): what each tag and pair of tags counts as.
 
-    gold and system have keys, tag_seq, text, attrs, start_in_line, end_in_line (inclusive). Each
-    overlapping pair is one match; a pair with unequal text or value is a false positive and a
-    false negative; a gold tag without the attribute still is a possible match. Empty elements
-    (null positions) overlap nothing. The interval join is an equality join on the line with the
-    overlap as its residual.
+    gold and system have keys and tags, an array of TAG for each line. Each overlapping pair is one
+    match; a pair with unequal text or value is a false positive and a false negative; a gold tag
+    without the attribute still is a possible match. Empty elements (null positions) overlap
+    nothing. Lines meet in one full join by their keys; within a line tags are compared as arrays,
+    so either side is read and shuffled once.
     """
-    tag = F.struct("tag_seq", "text", "attrs", "start_in_line", "end_in_line")
-    g = gold.select(*keys, tag.alias("g"))
-    s = system.select(*keys, tag.alias("s"))
-    hit = (F.col("g.start_in_line") <= F.col("s.end_in_line")) & (F.col("s.start_in_line") <= F.col("g.end_in_line"))
-    on = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys]
-    pairs = g.alias("a").join(s.alias("b"), [*on, hit], "inner").select(*(F.col(f"a.{k}") for k in keys), "g", "s")
-    lone_g = g.alias("a").join(s.alias("b"), [*on, hit], "left_anti").select(*keys, F.col("g").alias("t"))
-    lone_s = s.alias("a").join(g.alias("b"), [*on, hit], "left_anti").select(*keys, F.col("s").alias("t"))
-
-    same = F.trim(F.col("g.text")) == F.trim(F.col("s.text"))
-    out = [F.array(F.struct(F.lit("TAG_RELAXED").alias("t"), F.lit("").alias("a"), F.lit("TP").alias("r")))]
-    entry = lambda t, a, r: F.struct(F.lit(t).alias("t"), F.lit(a).alias("a"), F.lit(r).alias("r"))
-    out.append(F.when(same, F.array(entry("TAG_STRICT", "", "TP"))).otherwise(F.array(entry("TAG_STRICT", "", "FP"), entry("TAG_STRICT", "", "FN"))))
-    for a in attributes:
-        gv, sv = F.coalesce(F.try_element_at(F.col("g.attrs"), F.lit(a)), F.lit("")), F.coalesce(F.try_element_at(F.col("s.attrs"), F.lit(a)), F.lit(""))
-        out.append(F.array(entry("ATTRIBUTE", a, "ATTR_MATCH_POSSIBLE")))
-        none = F.array().cast("array<struct<t:string,a:string,r:string>>")
-        out.append(F.when(gv == "", none).when(gv == sv, F.array(entry("ATTRIBUTE", a, "TP"))).otherwise(F.array(entry("ATTRIBUTE", a, "FP"), entry("ATTRIBUTE", a, "FN"))))
-    both = pairs.select(*keys, F.col("g").alias("tag1"), F.col("s").alias("tag2"), F.explode(F.concat(*out)).alias("x"))
-
-    def lone(df: DataFrame, result: str) -> DataFrame:
-        tasks = [entry("TAG_RELAXED", "", result), entry("TAG_STRICT", "", result), *(entry("ATTRIBUTE", a, result) for a in attributes)]
-        return df.select(*keys, F.col("t").alias("tag1"), F.lit(None).cast(both.schema["tag2"].dataType).alias("tag2"), F.explode(F.array(*tasks)).alias("x"))
-
-    every = both.unionByName(lone(lone_g, "FN")).unionByName(lone(lone_s, "FP"))
-    return every.select(F.col("x.t").alias("task_type"), F.col("x.a").alias("attr_name"), F.col("x.r").alias("result_type"), *keys, "tag1", "tag2")
+    none = F.array().cast(f"array<{TAG}>")
+    both = gold.select(*keys, F.col("tags").alias("g")).join(system.select(*keys, F.col("tags").alias("s")), keys, "full")
+    both = both.select(*keys, F.coalesce("g", none).alias("g"), F.coalesce("s", none).alias("s"))
+
+    def hit(a: Column, b: Column) -> Column:
+        return F.coalesce((a["start_in_line"] <= b["end_in_line"]) & (b["start_in_line"] <= a["end_in_line"]), F.lit(False))
+
+    def entry(task: str, attr: str, result: str, one: Column, two: Column | None = None) -> Column:
+        second = two if two is not None else F.lit(None).cast(TAG)
+        return F.struct(F.lit(task).alias("task_type"), F.lit(attr).alias("attr_name"), F.lit(result).alias("result_type"), one.alias("tag1"), second.alias("tag2"))
+
+    def value(t: Column, a: str) -> Column:
+        return F.coalesce(F.try_element_at(t["attrs"], F.lit(a)), F.lit(""))
+
+    def pair(g: Column, s: Column) -> Column:
+        wrong = lambda task, attr: F.array(entry(task, attr, "FP", g, s), entry(task, attr, "FN", g, s))
+        out = [
+            F.array(entry("TAG_RELAXED", "", "TP", g, s)),
+            F.when(F.trim(g["text"]) == F.trim(s["text"]), F.array(entry("TAG_STRICT", "", "TP", g, s))).otherwise(wrong("TAG_STRICT", "")),
+        ]
+        for a in attributes:
+            empty = F.array().cast(_ENTRY)
+            out.append(F.array(entry("ATTRIBUTE", a, "ATTR_MATCH_POSSIBLE", g, s)))
+            out.append(F.when(value(g, a) == "", empty).when(value(g, a) == value(s, a), F.array(entry("ATTRIBUTE", a, "TP", g, s))).otherwise(wrong("ATTRIBUTE", a)))
+        return F.concat(*(x.cast(_ENTRY) for x in out))
+
+    def lone(t: Column, result: str) -> Column:
+        return F.array(entry("TAG_RELAXED", "", result, t), entry("TAG_STRICT", "", result, t), *(entry("ATTRIBUTE", a, result, t) for a in attributes)).cast(_ENTRY)
+
+    pairs = F.flatten(F.transform("g", lambda g: F.flatten(F.transform(F.filter("s", lambda s: hit(g, s)), lambda s: pair(g, s)))))
+    lone_g = F.flatten(F.transform(F.filter("g", lambda g: ~F.exists("s", lambda s: hit(g, s))), lambda g: lone(g, "FN")))
+    lone_s = F.flatten(F.transform(F.filter("s", lambda s: ~F.exists("g", lambda g: hit(g, s))), lambda s: lone(s, "FP")))
+    rows = both.select(*keys, F.inline(F.concat(pairs, lone_g, lone_s)))
+    return rows.select("task_type", "attr_name", "result_type", *keys, "tag1", "tag2")
 
 
 def _ratio(a: Column, b: Column) -> Column:

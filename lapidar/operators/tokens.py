@@ -49,20 +49,24 @@ def _label(s: Column, mode: str) -> Column:
     return F.when(time, name).when(name == "dne", kind).otherwise("")
 
 
-def numbered(df: DataFrame, group: str, order: list[str], name: str = "sentence_no") -> DataFrame:
-    """Running numbers over all rows in the order of group, then order, without one window over all rows.
+def summed_before(df: DataFrame, group: str, order: list[str], value: str) -> DataFrame:
+    """(group, order, before): the sum of value over all rows that come before in the order of group, then order, without one window over all rows.
 
-    Numbers run within each group; what comes before it is a running sum over one count per block of groups.
+    Sums run within each group; what comes before it is a running sum over one row per block of 1024 groups.
     """
-    inner = Window.partitionBy(group).orderBy(*order)
-    counts = df.groupBy(group).agg(F.count("*").alias("_n"))
     block = F.floor(F.col(group) / 1024)
+    sums = df.groupBy(group).agg(F.sum(value).alias("_n"))
     in_block = Window.partitionBy(block).orderBy(group).rowsBetween(Window.unboundedPreceding, -1)
-    blocks = counts.groupBy(block.alias("_b")).agg(F.sum("_n").alias("_s"))
     over = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # one row for 1024 groups
-    base = blocks.withColumn("_base", F.coalesce(F.sum("_s").over(over), F.lit(0))).drop("_s")
-    offsets = counts.withColumn("_b", block).withColumn("_in", F.coalesce(F.sum("_n").over(in_block), F.lit(0))).join(base, "_b").select(group, (F.col("_in") + F.col("_base")).alias("_off"))
-    return df.withColumn("_r", F.row_number().over(inner)).join(offsets, group).withColumn(name, (F.col("_r") + F.col("_off") - 1).cast("bigint")).drop("_r", "_off")
+    base = sums.groupBy(block.alias("_b")).agg(F.sum("_n").alias("_s")).withColumn("_base", F.coalesce(F.sum("_s").over(over), F.lit(0))).drop("_s")
+    offsets = sums.withColumn("_b", block).withColumn("_in", F.coalesce(F.sum("_n").over(in_block), F.lit(0))).join(base, "_b").select(group, (F.col("_in") + F.col("_base")).alias("_off"))
+    inner = Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return df.withColumn("_r", F.coalesce(F.sum(value).over(inner), F.lit(0))).join(offsets, group).select(group, *order, (F.col("_r") + F.col("_off")).cast("bigint").alias("before"))
+
+
+def numbered(df: DataFrame, group: str, order: list[str], name: str = "sentence_no") -> DataFrame:
+    """df's distinct (group, order) with running numbers from 0 over all of them."""
+    return summed_before(df.withColumn("_one", F.lit(1)), group, order, "_one").withColumnRenamed("before", name)
 
 
 def forward_fill(df: DataFrame, group: list[str], order: list[str], cols: list[str]) -> DataFrame:

@@ -15,13 +15,9 @@ from lapidar.runtime import table
 KEYS = ["doc_id", "line_no"]
 
 
-def _spans(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    only = lambda d: M.span_rows(d, KEYS).where("name = 'timex3'")
-    return only(gold_lines(spark, sf_dir)), only(system_lines(spark, sf_dir))
-
-
 def _decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.decisions(*_spans(spark, sf_dir), KEYS)
+    tags = lambda d: M.tags_by_line(d, KEYS, "timex3")
+    return E.decisions(tags(gold_lines(spark, sf_dir)), tags(system_lines(spark, sf_dir)), KEYS)
 
 
 def eval_relaxed_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,6 +116,14 @@ def sentence_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.numbered(_words(spark, sf_dir).select("doc_id", "line_no"), "doc_id", ["line_no"])
 
 
+def number_tids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Running tids over all documents: each line's share is counted, and lines get what comes before them."""
+    lines = gold_lines(spark, sf_dir)
+    counted = lines.select("doc_id", "line_no", F.size(F.filter(M.pieces(F.col("line")), lambda p: p.startswith("<TIMEX3"))).cast("bigint").alias("n"))
+    first = tokens.summed_before(counted, "doc_id", ["line_no"], "n")
+    return lines.join(first, KEYS).select("doc_id", "line_no", M.numbered_tids(F.col("line"), F.col("before") + 1).alias("line"))
+
+
 def forward_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _tokens(spark, sf_dir).withColumn("mark", F.when(F.col("word_no") % 4 == 0, F.col("word")))
     return tokens.forward_fill(t, ["doc_id", "line_no"], ["word_no"], ["mark"]).select("doc_id", "line_no", "word_no", "mark")
@@ -168,7 +172,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         eval_relaxed_strict, eval_filtered_attr, eval_by_language, unmatched_gold, unmatched_system, file_pairing, position_histogram, histogram_total, histogram_weighted,
-        tag_frequency, tag_line_counts, tag_unique_total, bio_tokens, sentence_numbers, forward_fill, context_features, memory_tagger, label_scores, rare_words, label_encoder,
+        tag_frequency, tag_line_counts, tag_unique_total, bio_tokens, sentence_numbers, number_tids, forward_fill, context_features, memory_tagger, label_scores, rare_words, label_encoder,
         padded_codes, rf_tagger, crf_substitute,
     )
 } | {
@@ -234,6 +238,9 @@ ORACLES = {
     "tag_line_counts": f"with {SQL_W} select doc_id, count(*) filter (n > 2) as n_lines from (select doc_id, line_no, max(n) as n from words group by 1, 2) group by 1",
     "tag_unique_total": f"with {SQL_W} select coalesce(lang, '?') as lang, count(*) as total, count(distinct t) as uniq from gold join documents using (doc_id) group by 1",
     "sentence_numbers": f"with {SQL_W} select doc_id, line_no, row_number() over (order by doc_id, line_no) - 1 as sentence_no from w0 where len(w) > 0",
+    "number_tids": f"""with {SQL_W}, e as (select words.*, replace(replace(replace(w, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') as x, i % 5 = 2 as tagged, sum(case when i % 5 = 2 then 1 else 0 end) over (order by doc_id, line_no, i) as tid from words)
+        select doc_id, line_no, string_agg(case when tagged then '<TIMEX3 tid="t' || tid || '" type="' || case when k % 2 = 0 then 'DATE' else 'DURATION' end || '" value="' || case when k % 6 = 0 then '' else k::varchar end
+        || case when doc_id % 3 = 0 then '" literature-time="true">' else '">' end || x || '</TIMEX3>' else x end, ' ' order by i) as line from e group by 1, 2""",
     "forward_fill": f"with {SQL_TOKENS} select doc_id, line_no, word_no, last_value(case when word_no % 4 = 0 then word end ignore nulls) over (partition by doc_id, line_no order by word_no) as mark from tok",
     "context_features": rf"""with {SQL_TOKENS} select doc_id, line_no, word_no, word, lag(word, 1, 'BOS') over w as prev_word, lead(word, 1, 'EOS') over w as next_word, lower(word) as lower, right(word, 3) as suffix3, right(word, 2) as suffix2,
         regexp_matches(word, '\p{{L}}') and not regexp_matches(word, '\p{{Lu}}') as is_lower, regexp_matches(word, '\p{{L}}') and not regexp_matches(word, '\p{{Ll}}') as is_upper,

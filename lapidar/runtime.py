@@ -28,12 +28,11 @@ class Scratch:
     """Tables written to the shared folder, so that lineage is cut and a lost executor costs no recomputation.
 
     ``keep`` writes a frame and returns it as read back (its size is then known to the planner);
-    ``drop`` removes tables no later step reads. What the caller's result still reads stays until
-    the next ``Scratch`` of the session is opened or the session ends.
+    of a name's tables the last two stay, as each is made from the one before. ``drop`` removes
+    tables that no later step reads. What the caller's result still reads stays in the folder,
+    below one path for each operator call; ``close`` removes it once the result is written.
     """
 
-    _open: dict[str, list["Scratch"]] = {}
-
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/lapidar-{uuid.uuid4().hex}"
@@ -52,6 +51,9 @@ class Scratch:
             for n in range(self.names.get(name, -1) + 1):
                 self._delete(f"{self.root}/{name}-{n}")
 
+    def close(self) -> None:
+        self._delete(self.root)
+
     def _delete(self, path: str) -> None:
         jvm = self.spark.sparkContext._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)

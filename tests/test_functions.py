@@ -77,16 +77,21 @@ def test_spans(spark):
     assert got == {(1, "s", 0, 21, "pre abc def ghi & post"), (1, "temponym", 4, 14, "abc def ghi"), (1, "dne", 8, 14, "def ghi"), (1, "x", None, None, ""), (4, "a", 0, 7, "unclosed")}
 
 
+def decide(gold, system):
+    keys = ["doc", "line"]
+    return evaluate.decisions(evaluate.by_line(gold, keys), evaluate.by_line(system, keys), keys)
+
+
 def test_scores(spark):
     cols = "doc int, line int, tag_seq int, text string, attrs map<string,string>, start_in_line int, end_in_line int"
     gold = spark.createDataFrame([(1, 0, 0, "abcdef", {"value": "1", "type": "D"}, 0, 5), (1, 1, 0, "x", {}, None, None), (2, 0, 0, "q", {"type": "D"}, 3, 3)], cols)
     system = spark.createDataFrame([(1, 0, 0, "abc", {"value": "1", "type": "E"}, 0, 2), (1, 0, 1, "def", {"value": "2", "type": "D"}, 3, 5), (3, 0, 0, "z", {}, 0, 0)], cols)
-    s = {(r.task_type, r.attr_name): r for r in evaluate.scores(evaluate.decisions(gold, system, ["doc", "line"])).collect()}
+    s = {(r.task_type, r.attr_name): r for r in evaluate.scores(decide(gold, system)).collect()}
     relaxed, strict, value = s["TAG_RELAXED", ""], s["TAG_STRICT", ""], s["ATTRIBUTE", "value"]
     assert (relaxed.tp, relaxed.fp, relaxed.fn) == (2, 1, 2)
     assert (strict.tp, strict.fp, strict.fn) == (0, 3, 4) and math.isnan(strict.f1) and strict.precision == 0
     assert (value.tp, value.fp, value.fn, value.max_matches) == (1, 2, 3, 2) and value.accuracy == 0.5
-    none = evaluate.scores(evaluate.decisions(gold.limit(0), system.limit(0), ["doc", "line"]))
+    none = evaluate.scores(decide(gold.limit(0), system.limit(0)))
     assert none.count() == 0
 
 
@@ -160,3 +165,13 @@ def test_paged_source(spark):
 def test_numbered_without_one_window(spark):
     df = spark.createDataFrame([(g, i) for g in (1, 2, 3000, 5000) for i in range(3)], "g int, i int")
     assert [r.sentence_no for r in tokens.numbered(df, "g", ["i"]).orderBy("g", "i").collect()] == list(range(12))
+
+
+def test_pipeline(spark):
+    from lapidar.plans import pipeline
+
+    d = spark.createDataFrame([(1, "Das ist die Mau-\ner & der Hof.   Und\n\nmehr. ", "x"), (2, None, "x"), (3, " \n", "x"), (4, "The end of the work-\nshop is here.", "x")], "doc_id int, text string, lang string")
+    got = [(r.doc_id, r.lang, r.sentence) for r in pipeline.prepared(d, known=["workshop"]).orderBy("doc_id", "sentence_no").collect()]
+    assert got == [(1, "de", "Das ist die Mauer &amp; der Hof."), (1, "de", "Und mehr."), (4, "en", "The end of the workshop is here.")]
+    many = spark.createDataFrame([(1, "Es ist gut. " * 30)], "doc_id int, text string")
+    assert pipeline.prepared(many, window=4).count() == 4
