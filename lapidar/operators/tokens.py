@@ -135,3 +135,31 @@ def encoder(labels: DataFrame, col: str) -> DataFrame:
 def padded(codes: Column, length: int, pad: int = 0) -> Column:
     """Cut or filled up at the end to a fixed length."""
     return F.slice(F.concat(codes, F.array_repeat(F.lit(pad), length)), 1, length)
+
+
+def shortened(codes: Column, lengths: Column) -> Column:
+    """The first so many codes of each list: undoes padding."""
+    return F.slice(codes, 1, lengths)
+
+
+def whole_batches(df: DataFrame, order: list[str], batch: int) -> DataFrame:
+    """As many rows from the first on as fill whole batches; order is unique."""
+    n = df.count()
+    return df if n % batch == 0 else df.orderBy(*order).limit(n - n % batch)
+
+
+def split_by_hash(df: DataFrame, key: str, test: float, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Train and test rows; rows of one key stay together, whatever the order or partitioning."""
+    h = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(10_000))
+    return df.where(h >= int(10_000 * test)), df.where(h < int(10_000 * test))
+
+
+def token_accuracy(p: DataFrame) -> DataFrame:
+    """One row: share of right tags, and micro precision, recall and F1 over all labels but O."""
+    hit, gold, pred = F.col("tag") == F.col("predicted"), F.col("tag") != "O", F.col("predicted") != "O"
+    c = p.agg(F.avg(hit.cast("int")).alias("accuracy"), F.count_if(hit & gold).alias("tp"), F.count_if(gold).alias("gold"), F.count_if(pred).alias("pred"))
+    zero = lambda a, b: F.when(b == 0, F.lit(0.0)).otherwise(a / F.nullif(b, F.lit(0)))
+    return c.select(
+        F.round("accuracy", 6).alias("accuracy"), F.round(zero(F.col("tp"), F.col("pred")), 6).alias("precision"), F.round(zero(F.col("tp"), F.col("gold")), 6).alias("recall"),
+        F.round(zero(2 * F.col("tp"), F.col("gold") + F.col("pred")), 6).alias("f1"),
+    )

@@ -50,3 +50,10 @@ def merged(original: DataFrame, lists: dict[str, DataFrame], lang: str) -> DataF
         out = out.join(d.select("line_no", F.col("pairs").alias("_p")), "line_no", "left")
         out = out.withColumn(label, F.coalesce(candidates(F.col("_p"), lang, F.col("original")), F.lit(""))).drop("_p")
     return out
+
+
+def with_norms(translations: DataFrame, norms: DataFrame) -> DataFrame:
+    """translations (line_no, translation) with norms (line_no, norm) by line; an error at run time if either has a line that the other lacks."""
+    both = translations.join(norms, "line_no", "full")
+    whole = F.col("translation").isNotNull() & F.col("norm").isNotNull()
+    return both.withColumn("norm", F.when(whole, F.col("norm")).otherwise(F.raise_error(F.concat(F.lit("no counterpart for line "), F.col("line_no").cast("string")))))

@@ -147,6 +147,10 @@ def label_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.label_scores(_tagged(spark, sf_dir))
 
 
+def token_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_accuracy(_tagged(spark, sf_dir))
+
+
 def rare_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.rare_words(_tokens(spark, sf_dir), 3).groupBy("word").agg(F.count("*").alias("n"))
 
@@ -172,7 +176,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         eval_relaxed_strict, eval_filtered_attr, eval_by_language, unmatched_gold, unmatched_system, file_pairing, position_histogram, histogram_total, histogram_weighted,
-        tag_frequency, tag_line_counts, tag_unique_total, bio_tokens, sentence_numbers, number_tids, forward_fill, context_features, memory_tagger, label_scores, rare_words, label_encoder,
+        tag_frequency, tag_line_counts, tag_unique_total, bio_tokens, sentence_numbers, number_tids, forward_fill, context_features, memory_tagger, label_scores, token_accuracy, rare_words, label_encoder,
         padded_codes, rf_tagger, crf_substitute,
     )
 } | {
@@ -253,6 +257,10 @@ ORACLES = {
               from p, (select tag as label from p union select predicted from p) where label <> 'O' group by 1)
         select label, tp, fp, fn, round(pr, 6) as precision, round(re, 6) as recall, case when pr + re = 0 then 0.0 else round(2 * pr * re / (pr + re), 6) end as f1, tp + fn as support
         from (select *, case when tp + fp = 0 then 0.0 else tp::double / (tp + fp) end as pr, case when tp + fn = 0 then 0.0 else tp::double / (tp + fn) end as re from c)""",
+    "token_accuracy": f"""with {SQL_TOKENS}, m as (select word, tag from (select word, tag, row_number() over (partition by word order by count(*) desc, tag) as r from tok where doc_id % 5 <> 0 group by 1, 2) where r = 1),
+        p as (select tok.tag, coalesce(m.tag, 'O') as predicted from tok left join m using (word) where doc_id % 5 = 0),
+        c as (select avg((tag = predicted)::int) as a, count(*) filter (tag = predicted and tag <> 'O') as tp, count(*) filter (tag <> 'O') as g, count(*) filter (predicted <> 'O') as q from p)
+        select round(a, 6) as accuracy, case when q = 0 then 0.0 else round(tp::double / q, 6) end as precision, case when g = 0 then 0.0 else round(tp::double / g, 6) end as recall, case when g + q = 0 then 0.0 else round(2.0::double * tp / (g + q), 6) end as f1 from c""",
     "rare_words": f"with {SQL_TOKENS} select case when n < 3 then '__RARE_WORD__' else word end as word, sum(n)::bigint as n from (select word, count(*) as n from tok group by 1) group by 1",
     "label_encoder": f"with {SQL_TOKENS} select tag, row_number() over (order by tag) - 1 as code from (select distinct tag from tok)",
     "padded_codes": f"with {SQL_W} select doc_id, line_no, array_to_string(list_resize(list_transform(w[1:8], lambda x: length(x)), 8, 0), ',') as codes from w0 where len(w) > 0",

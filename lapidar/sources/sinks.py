@@ -50,3 +50,14 @@ def decision_columns(d: DataFrame) -> DataFrame:
 def added(existing: DataFrame, new: DataFrame) -> DataFrame:
     """existing and the rows of new that it doesn't hold yet."""
     return existing.unionByName(new.distinct().join(existing, new.columns, "left_anti"))
+
+
+def pattern_files(df: DataFrame, path: str, lang: str = "lang") -> None:
+    """Pattern and normalisation lines of each language, sorted in that order of lines, in folders patterns and norms. df has lang, pattern, norm."""
+    for name in ("pattern", "norm"):
+        part = df.select(lang, name).where(F.col(name).isNotNull()).repartitionByRange(lang, name).sortWithinPartitions(lang, name)
+        part.write.mode("errorifexists").partitionBy(lang).text(f"{path}/{name}s")
+
+
+def json_lines(df: DataFrame, path: str) -> None:
+    df.write.mode("errorifexists").json(path)

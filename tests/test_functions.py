@@ -175,3 +175,30 @@ def test_pipeline(spark):
     assert got == [(1, "de", "Das ist die Mauer &amp; der Hof."), (1, "de", "Und mehr."), (4, "en", "The end of the workshop is here.")]
     many = spark.createDataFrame([(1, "Es ist gut. " * 30)], "doc_id int, text string")
     assert pipeline.prepared(many, window=4).count() == 4
+
+
+def test_batches_and_splits(spark):
+    df = spark.range(23)
+    assert tokens.whole_batches(df, ["id"], 5).count() == 20 and tokens.whole_batches(df, ["id"], 23).count() == 23
+    train, test = tokens.split_by_hash(df, "id", 0.3)
+    assert train.count() + test.count() == 23 and 0 < test.count() < 15
+    assert one(spark, [1, 2, 3], "array<int>", lambda c: tokens.shortened(tokens.padded(c, 6), F.lit(3))) == [1, 2, 3]
+
+
+def test_norms_by_line(spark):
+    t = spark.createDataFrame([(1, "a"), (2, "b")], "line_no int, translation string")
+    assert translate.with_norms(t, t.withColumnRenamed("translation", "norm")).count() == 2
+    with pytest.raises(Exception, match="no counterpart"):
+        translate.with_norms(t, t.withColumnRenamed("translation", "norm").limit(1)).collect()
+
+
+def test_pattern_files(spark, tmp_path):
+    df = spark.createDataFrame([("de", "b", "n1"), ("de", "a", "n2"), ("fr", "c", None)], "lang string, pattern string, norm string")
+    sinks.pattern_files(df, str(tmp_path / "x"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "x" / "patterns" / "lang=de")).collect()] == ["a", "b"]
+
+
+def test_tids_and_dates(spark):
+    line = '<TIMEX3 type="D">a</TIMEX3> b <TIMEX3 tid="x">c</TIMEX3>'
+    assert one(spark, line, "string", lambda c: M.numbered_tids(c, F.lit(7))) == '<TIMEX3 tid="t7" type="D">a</TIMEX3> b <TIMEX3 tid="t8">c</TIMEX3>'
+    assert one(spark, "x", "string", lambda c: M.with_creation_date(c, "2000-01-01")).endswith("</DCT>x")
