@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -26,16 +26,16 @@ def strict_mismatches(d: DataFrame) -> DataFrame:
     """Strict false positives that are neither a relaxed one nor wrongly normalised.
 
     The two exclusions are null-aware: one null id in them leaves nothing, and a null id of one's own is never let through.
-    As null-aware anti joins broadcast their right side, the rule is spelt out with plain anti joins and one look for nulls.
+    As null-aware anti joins broadcast their right side, the rule is spelt out with one look for nulls and plain anti joins.
     """
-    own = d.where(f"{STRICT} and result_type = 'FP'").withColumn("_id", F.col("tag1_attr_tid"))
-    out = own
+    out = d.where(f"{STRICT} and result_type = 'FP'")
     for other in (false_positives(d), false_normalised(d)):
-        ids = other.select(F.col("tag1_attr_tid").alias("_id"))
-        nulls = ids.agg(F.count_if(F.col("_id").isNull()).alias("nulls"), F.count("*").alias("n"))  # one row
-        kept = out.join(ids.where("_id is not null").distinct(), "_id", "left_anti")
-        out = kept.crossJoin(F.broadcast(nulls)).where("nulls = 0 and (n = 0 or _id is not null)").drop("nulls", "n")
-    return out.drop("_id")
+        ids = other.select("tag1_attr_tid")
+        if not ids.where("tag1_attr_tid is null").isEmpty():
+            return out.where(F.lit(False))
+        if not ids.isEmpty():
+            out = out.where("tag1_attr_tid is not null").join(ids.distinct(), "tag1_attr_tid", "left_anti")
+    return out.select(d.columns)
 
 
 def positions(d: DataFrame, extra: Column | None = None) -> DataFrame:
@@ -48,8 +48,7 @@ def histogram(pos: DataFrame, sizes: DataFrame, bins: int = 20) -> DataFrame:
     """(basename, bin, n, occurrences): pos (basename, pos) by place in the text; sizes (basename, chars)."""
     placed = pos.join(sizes.where("chars > 0"), "basename").select("basename", F.expr(f"cast({bins} * cast(pos as bigint) div chars as bigint)").alias("bin"))
     per = placed.groupBy("basename", "bin").agg(F.count("*").alias("n"))
-    total = placed.groupBy("basename").agg(F.count("*").alias("occurrences"))
-    return per.join(total, "basename")
+    return per.withColumn("occurrences", F.sum("n").over(Window.partitionBy("basename")))  # at most bins + 1 rows for a text
 
 
 def histogram_sum(h: DataFrame) -> DataFrame:
