@@ -51,7 +51,12 @@ def clean_edges(df: DataFrame, id: str = "id", parents: str = "parent_ids") -> t
 
 
 class Hierarchy:
-    """All parts of the analysis of one set of parent-child rows; frames are read back from the shared folder."""
+    """All parts of the analysis of one set of parent-child rows; frames are read back from the shared folder.
+
+    Rows with a null id count for nothing, rows of the same id together state its parents. Null and
+    unknown parents don't count, a node may be its own parent (a cycle of one). An empty table gives
+    empty results; other columns are ignored.
+    """
 
     def __init__(self, df: DataFrame, id: str = "id", parents: str = "parent_ids"):
         self.s = Scratch(df.sparkSession)
