@@ -39,8 +39,6 @@ SHARE = 0.45
 """Least part of an item's words that a passage must span; half of them by any other way of counting words."""
 MATCH = 0.82
 """Least part of the spanned words that are the same."""
-LEAST_SHARED = 0.35
-"""Least part of an item's weight (IDF of its distinct words) that a passage must share to be aligned at all; far under SHARE x MATCH."""
 BLOCK_WORDS = 60_000
 
 _HYPHEN = regex.compile(r"(?<=\p{L})[-­‐‑][ \t]*(?:\r\n|[\n\r ])[\s>|]*(?=\p{L})")
@@ -139,25 +137,20 @@ def _added(df: DataFrame, make, size: int) -> np.ndarray:
     return out
 
 
-def fit(table: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """FEATURES x RANK float32: IDF times right singular vectors of the TF-IDF passages of all rows of table (key, w); and the IDF of each word of a sorted vocabulary."""
-    size = FEATURES + 1 + len(vocabulary)
+def fit(table: DataFrame) -> np.ndarray:
+    """FEATURES x RANK float32: IDF times right singular vectors of the TF-IDF passages of all rows of table (key, w)."""
 
     def frequencies(lists) -> np.ndarray:
-        v = np.zeros(size)
+        v = np.zeros(FEATURES + 1)
         for _, flat, offsets in lists:
             row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
             seen = np.unique(row.astype(np.int64) * FEATURES + (flat & (FEATURES - 1)))
             v[:FEATURES] += np.bincount(seen % FEATURES, minlength=FEATURES)
             v[FEATURES] += len(offsets) - 1
-            at, hit = _places(vocabulary, flat)
-            seen = np.unique(row[hit].astype(np.int64) * max(1, len(vocabulary)) + at[hit])
-            v[FEATURES + 1 :] += np.bincount(seen % max(1, len(vocabulary)), minlength=len(vocabulary))[: len(vocabulary)]
         return v
 
-    df = _added(table, frequencies, size)
+    df = _added(table, frequencies, FEATURES + 1)
     idf = np.log((1 + df[FEATURES]) / (1 + df[:FEATURES]))
-    own = np.log((1 + df[FEATURES]) / (1 + df[FEATURES + 1 :]))
     omega = np.random.default_rng(7).standard_normal((FEATURES, RANK))
     seed = table.sparkSession.sparkContext.broadcast((idf[:, None] * omega).astype(np.float32))
 
@@ -184,10 +177,10 @@ def fit(table: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarra
     w, u = np.linalg.eigh(c)
     keep = w > max(w.max(), 0) * 1e-9
     if not keep.any():
-        return np.zeros((FEATURES, RANK), np.float32), own
+        return np.zeros((FEATURES, RANK), np.float32)
     b = z @ u[:, keep] / np.sqrt(w[keep])
     v = np.linalg.svd(b, full_matrices=False)[0]
-    return (idf[:, None] * v).astype(np.float32), own
+    return (idf[:, None] * v).astype(np.float32)
 
 
 def _places(vocabulary: np.ndarray, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -247,29 +240,31 @@ def aligned(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
 class Items:
     """The items' words and their passages in the latent space."""
 
-    def __init__(self, ids: list[int], lists: list[np.ndarray], vocabulary: np.ndarray, weight: np.ndarray, latent: np.ndarray):
+    def __init__(self, ids: list[int], lists: list[np.ndarray], latent: np.ndarray):
         self.ids, self.words = ids, lists
         offsets = np.cumsum([0] + [len(x) for x in lists])
         flat = np.concatenate(lists) if lists else np.zeros(0, np.int32)
         row, start, end = _windows(offsets, ITEM_STRIDE)
         self.of = row
-        # the weights of the items' distinct words, for what a document shares with each item
-        self.vocabulary, self.weight = vocabulary, np.maximum(weight, 0).astype(np.float32)
-        self.has = np.zeros((len(vocabulary), len(lists)), np.float32)
-        for i, w in enumerate(lists):
-            at = np.searchsorted(vocabulary, w)
-            self.has[at, i] = self.weight[at]
-        self.total = self.has.sum(axis=0)
+        # which words each item has, for what a document can score against it at most
+        self.vocabulary = np.unique(flat)
+        self.has = np.zeros((len(lists), len(self.vocabulary)), bool)
+        self.has[np.repeat(np.arange(len(lists)), np.diff(offsets)), np.searchsorted(self.vocabulary, flat)] = True
         self.passages = _unit(_sums(latent[flat & (FEATURES - 1)], start, end)) if len(flat) else np.zeros((0, latent.shape[1]), np.float32)
 
 
-def shared(items: Items, flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """rows x items: the weight of an item's distinct words that a row has."""
-    at, hit = _places(items.vocabulary, flat)
-    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    own = np.zeros((len(offsets) - 1, len(items.vocabulary)), np.float32)
-    own[row[hit], at[hit]] = 1
-    return own @ items.has
+def least_score(n: int) -> float:
+    """What a passage must score in alignment with an item of n words."""
+    return SHARE * (2 * MATCH - 1) * n - 2
+
+
+def score_bound(own: np.ndarray) -> int:
+    """The most that a passage can score in alignment; own: whether the item has each of its words.
+
+    Words of the passage that the item has add 1 at most, all others take 1 off.
+    """
+    total = np.concatenate(([0], np.cumsum(np.where(own, 1, -1))))
+    return int((total - np.minimum.accumulate(total)).max())
 
 
 def candidates(items: Items, latent: np.ndarray, flat: np.ndarray, offsets: np.ndarray) -> dict[tuple[int, int], tuple[int, int]]:
@@ -308,25 +303,21 @@ def leaked(docs: DataFrame, items: DataFrame) -> DataFrame:
     rows = [r for r in items.select("item_id", "text").where("text is not null").collect()]
     lists = list(_hashed(r.text for r in rows))
     some = [i for i, x in enumerate(lists) if len(x)]
-    vocabulary = np.unique(np.concatenate([lists[i] for i in some])) if some else np.zeros(0, np.int32)
-    latent, weight = fit(table, vocabulary)
-    queries = Items([rows[i].item_id for i in some], [lists[i] for i in some], vocabulary, weight, latent)
+    latent = fit(table)
+    queries = Items([rows[i].item_id for i in some], [lists[i] for i in some], latent)
     sent = spark.sparkContext.broadcast((queries, latent))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items, latent = sent.value
         for keys, flat, offsets in _lists(batches):
             found = []
-            enough = shared(items, flat, offsets) >= LEAST_SHARED * items.total
+            at, hit = _places(items.vocabulary, flat)
             for (row, item), (a, z) in candidates(items, latent, flat, offsets).items():
-                if not enough[row, item]:
-                    continue
                 reach = len(items.words[item])
-                part = flat[max(a - reach, offsets[row]) : min(z + reach, offsets[row + 1])]
-                # what any passage that counts must at least share
-                at, hit = _places(items.vocabulary, part)
-                if items.has[np.unique(at[hit]), item].sum() >= LEAST_SHARED * items.total[item]:
-                    found.append((row, item, part))
+                begin, end = max(a - reach, offsets[row]), min(z + reach, offsets[row + 1])
+                # alignment can accept nothing that fails this
+                if score_bound(items.has[item][at[begin:end]] & hit[begin:end]) >= least_score(reach):
+                    found.append((row, item, flat[begin:end]))
             found.sort(key=lambda x: len(x[2]))
             out = []
             for at in range(0, len(found), 256):
@@ -334,7 +325,7 @@ def leaked(docs: DataFrame, items: DataFrame) -> DataFrame:
                 score = best_scores([items.words[i] for _, i, _ in some], [p for _, _, p in some])
                 for (row, item, part), s in zip(some, score.tolist(), strict=True):
                     n = len(items.words[item])
-                    if s >= SHARE * (2 * MATCH - 1) * n - 2:
+                    if s >= least_score(n):
                         i, j, same = aligned(items.words[item], part)
                         if j - i >= SHARE * n and same >= MATCH * (j - i):
                             out.append((row, items.ids[item], (j - i) / n, same / (j - i)))

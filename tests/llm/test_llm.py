@@ -169,6 +169,25 @@ def test_leaks(spark):
     assert leaks.leaked(df, it.limit(0)).count() == 0
 
 
+def test_hot_half_of_an_item(spark):
+    """The half that leaked into many documents has low IDF; the documents are found all the same."""
+    r = random.Random(8)
+    vocabulary = ["".join(r.choice("abcdefghijk") for _ in range(6)) for _ in range(3000)]
+    text = lambda n: [r.choice(vocabulary) for _ in range(n)]
+    items = {i: text(60) for i in range(4)}
+    docs = [(d, " ".join(text(40) + (items[1][:32] if d % 5 < 2 else []) + text(40))) for d in range(300)]
+    got = leaks.leaked(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id bigint, text string"))
+    assert {(x.doc_id, x.item_id) for x in got.collect()} == {(d, 1) for d in range(300) if d % 5 < 2}
+
+
+def test_score_bound():
+    """No passage scores more than its bound."""
+    r = random.Random(9)
+    for _ in range(200):
+        a, b = ([r.randrange(8) for _ in range(r.randrange(1, 40))] for _ in range(2))
+        assert leaks.best_scores([np.array(a)], [np.array(b)])[0] <= leaks.score_bound(np.isin(b, a))
+
+
 def test_normal_form():
     assert leaks.words("Zer­störte „Burg“ am Jahr-\n> hunderts ﬁne") == ["zerstorte", "burg", "am", "jahrhunderts", "fine"]
     assert leaks.words(None) == []
