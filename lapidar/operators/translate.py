@@ -25,10 +25,17 @@ def similar(left: DataFrame, right: DataFrame, key: str, a: str, b: str, most: i
     return left.join(right, key).withColumn("distance", F.levenshtein(F.col(a), F.col(b), most)).where("distance >= 0")
 
 
-def labels_of(triples: DataFrame, terms: DataFrame, lang: str = "en") -> DataFrame:
-    """(term, labels): all labels of the subjects that carry the term in lang. triples (subject, label, lang), terms (term)."""
-    named = triples.where(F.col("lang") == lang).select("subject", F.col("label").alias("term")).join(terms, "term")
-    return named.join(triples.select("subject", "label", F.col("lang").alias("l")), "subject").groupBy("term").agg(F.array_join(F.array_sort(F.collect_set(F.concat("l", F.lit(":"), "label"))), "|").alias("labels"))
+def labels_of(triples: DataFrame, terms: DataFrame | None = None, lang: str = "en") -> DataFrame:
+    """(term, labels): all labels of the subjects that carry the term in lang. triples (subject, label, lang), terms (term); without terms, every label in lang is one.
+
+    Joined by subject, so that a term of many subjects is no hot key; its (term, label) are made
+    distinct map-side before the lists are made.
+    """
+    named = triples.where(F.col("lang") == lang).select("subject", F.col("label").alias("term"))
+    if terms is not None:
+        named = named.join(terms, "term", "left_semi")
+    pairs = named.join(triples.select("subject", F.concat("lang", F.lit(":"), "label").alias("l")), "subject").select("term", "l").distinct()
+    return pairs.groupBy("term").agg(F.array_join(F.array_sort(F.collect_list("l")), "|").alias("labels"))
 
 
 def candidates(pairs: Column, lang: str, original: Column) -> Column:

@@ -144,18 +144,29 @@ def term_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.walk(s.unionByName(n).unionByName(back), s.select(F.col("src").alias("start")), 2).withColumn("depth", F.col("depth").cast("bigint"))
 
 
+def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Epochs' names as labelled subjects."""
+    e = table(spark, sf_dir, "epochs").select("id", F.explode("names").alias("lang", "l"))
+    return e.select(F.col("id").alias("subject"), "lang", F.explode("l").alias("label")).where("label is not null").distinct()
+
+
 def triple_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Epochs' names as labelled subjects; all labels of the subjects that carry an English name."""
-    e = table(spark, sf_dir, "epochs").select("id", F.explode("names").alias("lang", "l")).select(F.col("id").alias("subject"), "lang", F.explode("l").alias("label")).where("label is not null").distinct()
+    """All labels of the subjects that carry an English name of at most 20 subjects, as its SQL has it; all_triple_labels has every name."""
+    e = _labelled(spark, sf_dir)
     rare = e.where("lang = 'en'").groupBy("label").agg(F.count("*").alias("n")).where("n <= 20").select(F.col("label").alias("term"))
     return X.labels_of(e, rare)
 
 
+def all_triple_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All labels of the subjects that carry an English name, for every English name, however frequent."""
+    return X.labels_of(_labelled(spark, sf_dir))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         desc_exclusion, url_pattern_select, url_pattern_union, hosts_urls, hosts_common, pattern_cooccurrence, record_projection, sample_records, earliest_year, clean_period_name,
-        format_year_range, usable_by_language, representative_epoch, norm_lines, temponym_vote, merge_translations, similar_term, term_walk, triple_labels,
+        format_year_range, usable_by_language, representative_epoch, norm_lines, temponym_vote, merge_translations, similar_term, term_walk, triple_labels, all_triple_labels,
     )
 }
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lapidar.functions import markup as M
 from lapidar.functions import text as T
 from lapidar.operators import evaluate, records, sentences, tokens, translate
+from lapidar.plans import collection_queries
 from lapidar.sources import files, paged, sinks
 
 
@@ -202,3 +203,11 @@ def test_tids_and_dates(spark):
     line = '<TIMEX3 type="D">a</TIMEX3> b <TIMEX3 tid="x">c</TIMEX3>'
     assert one(spark, line, "string", lambda c: M.numbered_tids(c, F.lit(7))) == '<TIMEX3 tid="t7" type="D">a</TIMEX3> b <TIMEX3 tid="t8">c</TIMEX3>'
     assert one(spark, "x", "string", lambda c: M.with_creation_date(c, "2000-01-01")).endswith("</DCT>x")
+
+
+def test_labels_of_frequent_names(spark, tmp_path):
+    """A name of more than 20 subjects is looked up like any other."""
+    names = [(f"e{i:02}", {"en": ["Iron Age", None], "de": [f"Eisenzeit {i % 7}"]}) for i in range(30)] + [("e99", {"en": ["Rare"], "fr": None}), ("e98", None)]
+    spark.createDataFrame(names, "id string, names map<string,array<string>>").write.parquet(f"{tmp_path}/epochs.parquet")
+    got = {r.term: r.labels for r in collection_queries.QUERIES["all_triple_labels"](spark, str(tmp_path)).collect()}
+    assert got == {"Iron Age": "|".join([*(f"de:Eisenzeit {i}" for i in range(7)), "en:Iron Age"]), "Rare": "en:Rare"}
