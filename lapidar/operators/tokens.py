@@ -74,8 +74,8 @@ def forward_fill(df: DataFrame, group: list[str], order: list[str], cols: list[s
     return df.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in cols})
 
 
-def context_features(df: DataFrame, group: list[str], order: str, word: str = "word") -> DataFrame:
-    """Neighbours with marks at the ends, and the word's shape, each sentence for itself."""
+def context_features(df: DataFrame, group: list[str], order: str, word: str = "word", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Neighbours with marks at the ends, and the word's shape, each sentence for itself; keep: other columns to carry along."""
     w = Window.partitionBy(*group).orderBy(order)
     c = F.col(word)
     return df.select(
@@ -90,6 +90,7 @@ def context_features(df: DataFrame, group: list[str], order: str, word: str = "w
         c.rlike(r"^\p{Lu}\P{Lu}*$").alias("is_title"),
         c.rlike(r"^[0-9]+$").alias("is_digit"),
         F.length(c).cast("bigint").alias("len"),
+        *keep,
     )
 
 
@@ -104,6 +105,24 @@ def memory_tagged(train: DataFrame, test: DataFrame) -> DataFrame:
     return test.join(most_frequent_tag(train).withColumnRenamed("tag", "predicted"), "word", "left").withColumn("predicted", F.coalesce("predicted", F.lit("O")))
 
 
+def fold_of(key: str, folds: int) -> Column:
+    """The fold of a row, by a whole number that rows kept together share; null keys are in the first."""
+    return F.coalesce(F.pmod(F.col(key), F.lit(folds)), F.lit(0)).cast("int")
+
+
+def fold_memories(tokens: DataFrame, key: str, folds: int) -> DataFrame:
+    """(word, tags): for each fold, in order, the word's most frequent tag in all other folds, null where it isn't in them; ties go to the lesser tag."""
+    counts = tokens.groupBy("word", "tag").agg(F.array(*(F.count_if(fold_of(key, folds) != k) for k in range(folds))).alias("n"))
+    best = lambda k: F.min_by("tag", F.when(F.col("n")[k] > 0, F.struct(-F.col("n")[k], F.col("tag"))))
+    return counts.groupBy("word").agg(F.array(*(best(k) for k in range(folds))).alias("tags"))
+
+
+def fold_tagged(tokens: DataFrame, key: str, folds: int) -> DataFrame:
+    """Every token with the tag predicted for it from all folds but its own; O for words not seen there."""
+    own = F.col("tags")[fold_of(key, folds)]
+    return tokens.join(fold_memories(tokens, key, folds), "word", "left").withColumn("predicted", F.coalesce(own, F.lit("O"))).drop("tags")
+
+
 def label_scores(p: DataFrame) -> DataFrame:
     """(label, tp, fp, fn, precision, recall, f1, support) of each label but O; tag is right, predicted is given."""
     pairs = p.groupBy("tag", "predicted").agg(F.count("*").alias("n"))

@@ -139,7 +139,7 @@ def _tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def memory_tagger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fitted on four folds of documents, applied to the fifth."""
+    """Fitted on four folds of documents, applied to the fifth, as its SQL has it; memory_tagger_folds predicts every fold."""
     return _tagged(spark, sf_dir).select("doc_id", "line_no", "word_no", "predicted")
 
 
@@ -151,6 +151,23 @@ def token_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_accuracy(_tagged(spark, sf_dir))
 
 
+def _fold_tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.fold_tagged(_tokens(spark, sf_dir), "doc_id", tagging.FOLDS)
+
+
+def memory_tagger_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cross prediction: each fold of documents is predicted from the four others."""
+    return _fold_tagged(spark, sf_dir).select("doc_id", "line_no", "word_no", "predicted")
+
+
+def label_scores_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.label_scores(_fold_tagged(spark, sf_dir))
+
+
+def token_accuracy_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_accuracy(_fold_tagged(spark, sf_dir))
+
+
 def rare_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.rare_words(_tokens(spark, sf_dir), 3).groupBy("word").agg(F.count("*").alias("n"))
 
@@ -176,7 +193,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         eval_relaxed_strict, eval_filtered_attr, eval_by_language, unmatched_gold, unmatched_system, file_pairing, position_histogram, histogram_total, histogram_weighted,
-        tag_frequency, tag_line_counts, tag_unique_total, bio_tokens, sentence_numbers, number_tids, forward_fill, context_features, memory_tagger, label_scores, token_accuracy, rare_words, label_encoder,
+        tag_frequency, tag_line_counts, tag_unique_total, bio_tokens, sentence_numbers, number_tids, forward_fill, context_features, memory_tagger, label_scores, token_accuracy,
+        memory_tagger_folds, label_scores_folds, token_accuracy_folds, rare_words, label_encoder,
         padded_codes, rf_tagger, crf_substitute,
     )
 } | {

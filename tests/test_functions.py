@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lapidar.functions import markup as M
 from lapidar.functions import text as T
 from lapidar.operators import evaluate, records, sentences, tokens, translate
-from lapidar.plans import collection_queries
+from lapidar.plans import annotation_queries, collection_queries
 from lapidar.sources import files, paged, sinks
 
 
@@ -211,3 +211,18 @@ def test_labels_of_frequent_names(spark, tmp_path):
     spark.createDataFrame(names, "id string, names map<string,array<string>>").write.parquet(f"{tmp_path}/epochs.parquet")
     got = {r.term: r.labels for r in collection_queries.QUERIES["all_triple_labels"](spark, str(tmp_path)).collect()}
     assert got == {"Iron Age": "|".join([*(f"de:Eisenzeit {i}" for i in range(7)), "en:Iron Age"]), "Rare": "en:Rare"}
+
+
+@pytest.mark.parametrize("name", ["rf_tagger", "memory_tagger_folds"])
+def test_every_token_is_predicted(spark, small, name):
+    key = ["doc_id", "line_no", "word_no"]
+    got = annotation_queries.QUERIES[name](spark, small).select(*key).collect()
+    assert sorted(got) == sorted(annotation_queries._tokens(spark, small).select(*key).collect())
+
+
+def test_memories_of_folds(spark):
+    """Each fold's tags come from the other folds alone."""
+    rows = [(d, 0, w, word, tag) for d, line in enumerate(["a:X b:O", "a:Y b:O", "a:Y c:X"]) for w, (word, tag) in enumerate(x.split(":") for x in line.split())] + [(None, 0, 0, "a", "X")]
+    t = spark.createDataFrame(rows, "doc_id int, line_no int, word_no int, word string, tag string")
+    got = {(r.doc_id, r.word): r.predicted for r in tokens.fold_tagged(t, "doc_id", 3).collect()}
+    assert got == {(0, "a"): "Y", (0, "b"): "O", (1, "a"): "X", (1, "b"): "O", (2, "a"): "X", (2, "c"): "O", (None, "a"): "Y"}
