@@ -438,7 +438,9 @@ class ScannedPages:
         para_no ascends by 1; it begins at 0 where the document's first line isn't marked as a paragraph's beginning, else at 1.
         """
         sent = self.pages.sparkSession.sparkContext.broadcast(self.vocabulary)
-        types = dict(self.pages.dtypes)
+        # pages without a document are documents of their own
+        source = self.pages.withColumn("key", F.coalesce(F.concat(F.lit("d"), F.col("doc").cast("string")), F.concat(F.lit("p"), F.col("page_id").cast("string")), F.lit("")))
+        types = dict(source.dtypes)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -454,21 +456,21 @@ class ScannedPages:
                         ids.append(i)
                         rows.append((n, starts, " ".join(words)))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(pa.array(ids, pa.int32())), b.column(1).take(pa.array(ids, pa.int32())), pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows], pa.bool_()), pa.array([x[2] for x in rows], pa.string())],
-                    ["doc", "page_no", "piece", "starts", "text"],
+                    [b.column(0).take(pa.array(ids, pa.int32())), b.column(1).take(pa.array(ids, pa.int32())), b.column(2).take(pa.array(ids, pa.int32())), pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows], pa.bool_()), pa.array([x[2] for x in rows], pa.string())],
+                    ["key", "doc", "page_no", "piece", "starts", "text"],
                 )
 
-        pieces = self.s.keep(self.pages.select("doc", "page_no", "text", "marks", "after", "before").mapInArrow(run, f"doc {types['doc']}, page_no {types['page_no']}, piece bigint, starts boolean, text string"), "pieces")
+        pieces = self.s.keep(source.select("key", "doc", "page_no", "text", "marks", "after", "before").mapInArrow(run, f"key string, doc {types['doc']}, page_no {types['page_no']}, piece bigint, starts boolean, text string"), "pieces")
         # running numbers in two steps, so that no document is numbered by one task alone
         block = F.floor(F.coalesce("page_no", F.lit(0)) / 64).alias("block")
         p = pieces.withColumn("block", block).withColumn("one", F.col("starts").cast("bigint"))
-        inner = Window.partitionBy("doc", "block").orderBy("page_no", "piece")
-        sums = p.groupBy("doc", "block").agg(F.sum("one").alias("total"))
-        sums = sums.withColumn("base", F.coalesce(F.sum("total").over(Window.partitionBy("doc").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("total")
-        numbered = p.withColumn("run", F.sum("one").over(inner.rowsBetween(Window.unboundedPreceding, 0))).join(sums, ["doc", "block"])
+        inner = Window.partitionBy("key", "block").orderBy("page_no", "piece")
+        sums = p.groupBy("key", "block").agg(F.sum("one").alias("total"))
+        sums = sums.withColumn("base", F.coalesce(F.sum("total").over(Window.partitionBy("key").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("total")
+        numbered = p.withColumn("run", F.sum("one").over(inner.rowsBetween(Window.unboundedPreceding, 0))).join(sums, ["key", "block"])
         numbered = numbered.withColumn("para_no", (F.col("run") + F.col("base")).cast("bigint"))
         parts = F.array_sort(F.collect_list(F.struct("page_no", "piece", "text")))
-        return numbered.groupBy("doc", "para_no").agg(F.min("page_no").alias("first_page"), F.array_join(F.transform(parts, lambda x: x["text"]), " ").alias("text"))
+        return numbered.groupBy("key", "doc", "para_no").agg(F.min("page_no").alias("first_page"), F.array_join(F.transform(parts, lambda x: x["text"]), " ").alias("text")).drop("key")
 
 
 def _whole(token: str, rest: str, voc: Vocabulary) -> str | None:

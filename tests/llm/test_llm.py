@@ -258,6 +258,12 @@ def test_furniture():
     assert pages.furniture("", []) == {} and pages.furniture("12", []) == {0: "page_number"}
 
 
+def test_paragraphs_of_pages_without_document(spark):
+    rows = [(1, "d", 1, "Der Hof ist weit."), (900, None, None, "Das Tor ruht."), (901, None, 1, "Die Mauer ist alt."), (902, None, 1, "Ein Graben.")]
+    got = pages.ScannedPages(spark.createDataFrame(rows, "page_id bigint, doc string, page_no int, text string")).paragraphs()
+    assert sorted((r.doc or "", r.text) for r in got.collect()) == [("", "Das Tor ruht."), ("", "Die Mauer ist alt."), ("", "Ein Graben."), ("d", "Der Hof ist weit.")]
+
+
 def test_pages(spark):
     r = random.Random(3)
     nouns = ["Turm", "Hof", "Wall", "Ofen", "Graben", "Brunnen", "Keller", "Hafen", "Garten", "Speicher"]
