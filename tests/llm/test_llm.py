@@ -74,6 +74,17 @@ def test_recurrent_lines_are_no_content(spark):
     assert got == {0, 1, 2, 3, 4}
 
 
+def test_copies_and_small_shares_are_no_boilerplate(spark):
+    line = "The old gate was closed by clay."
+    fill = lambda n: " ".join(f"word{i}" for i in range(9)) + f" {n} ends."
+    rows = [(i, f"{line}\nPlease enable cookies.", "copies") for i in range(4)]
+    # three different texts of five hundred
+    rows += [(10 + i, f"{line}\nPlease enable cookies number {'abc'[i]}.", "large") for i in range(3)] + [(100 + i, fill(i), "large") for i in range(500)]
+    # a sentence of a script without spaces that recurs
+    rows += [(20 + i, f"没想到与多帕帕的贸易已经中断！西北塔楼覆盖着较早的夯土地面。\nPlease enable cookies {'abc'[i]}.", "dense") for i in range(3)]
+    assert residue.residue(spark.createDataFrame(rows, "doc_id int, text string, source string")).count() == 0
+
+
 # -- languages
 
 
