@@ -335,6 +335,39 @@ class Hierarchy:
         above = self.ways().select(F.explode(F.slice("way", 1, F.size("way") - 1)).alias("id"), F.col("id").alias("descendant"))
         return above.distinct()
 
+    def all_descendants(self) -> DataFrame:
+        """(id, descendant): every node with all nodes below it, once for each pair, over all parents, on and below cycles too. A node on a cycle is its own descendant.
+
+        Pairs within trees come from the intervals. Between trees, and through cycles of single parents, they come
+        from the closure of the heads' links, which doubles the length of ways covered with each round.
+        """
+        keep = self.s.keep
+        # places (id, head) of all nodes: those on cycles are heads of their own, those below are reached by their own links
+        loose = self.loops.select("id", F.col("id").alias("head")) if self.loops is not None else self.tree.select("id", "head").limit(0)
+        inside = keep(self.within(self.tree).where("ancestor <> id").select(F.col("ancestor").alias("id"), F.col("id").alias("descendant")), "inside")
+        # links (a, b): head b hangs below some node of a's tree
+        apart = self.edges.join(self.nodes.where("n > 1").select("id"), "id", "left_semi")
+        if self.loops is not None:
+            apart = apart.unionByName(self.edges.join(self.loops.select("id"), "id", "left_semi")).distinct()
+        place = self.tree.select("id", "head").unionByName(loose)
+        joints = keep(apart.join(place.select(F.col("id").alias("parent"), F.col("head").alias("a")), "parent").select("parent", "a", F.col("id").alias("b")), "joints")
+        reach = keep(joints.select("a", "b").distinct(), "reach")
+        n = reach.count()
+        while n:
+            longer = reach.join(reach.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", F.col("c").alias("b"))
+            reach = keep(reach.union(longer).distinct(), "reach")
+            now = reach.count()
+            if now == n:
+                break
+            n = now
+        # heads met from a node: those that hang on it or on nodes below it in its tree, and whatever these reach
+        hung = joints.select("parent", "b").distinct()
+        met = hung.select(F.col("parent").alias("id"), "b").union(inside.select("id", F.col("descendant").alias("parent")).join(hung, "parent").select("id", "b")).distinct()
+        met = keep(met, "met")
+        met = met.union(met.join(reach.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("id", F.col("c").alias("b"))).distinct()
+        across = met.join(place.select(F.col("head").alias("b"), F.col("id").alias("descendant")), "b").select("id", "descendant")
+        return inside.union(across).distinct()
+
 
 def _cut(acc: Column, end: Column) -> Column:
     """Takes the largest aligned block that starts at acc.at and ends within end."""

@@ -21,7 +21,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hierarchy.Hierarchy(table(spark, sf_dir, "epochs").select("id", "parent_ids")).descendants()
+    return hierarchy.Hierarchy(table(spark, sf_dir, "epochs").select("id", "parent_ids")).all_descendants()
 
 
 QUERIES = {"p1_found": p1_found, "p1_parts": p1_parts, "p5_found": p5_found, "p5_descendants": p5_descendants}

@@ -65,6 +65,37 @@ def test_shapes(spark):
     check(spark, rows)
 
 
+def below(rows):
+    """(id, descendant) by walking down from each node."""
+    ids = {i for i, _ in rows if i is not None}
+    kids = {i: set() for i in ids}
+    for i, ps in rows:
+        for p in ps or []:
+            if i is not None and p is not None and p.strip() in ids:
+                kids[p.strip()].add(i)
+    out = set()
+    for i in ids:
+        todo = list(kids[i])
+        while todo:
+            x = todo.pop()
+            if (i, x) not in out:
+                out.add((i, x))
+                todo += kids[x]
+    return out
+
+
+@pytest.mark.parametrize("rows", [
+    # a cycle at the root of an ordinary subtree
+    [("u", ["v"]), ("v", ["u"]), ("a", ["v"]), ("b", ["a"]), ("c", ["a"]), ("d", ["c", "r"]), ("r", None), ("e", ["d"]), ("s", ["s"])],
+    # a cycle through heads of several parents and through trees
+    [("r", []), ("p", ["q", "r"]), ("x", ["p"]), ("q", ["x"]), ("y", ["x"]), ("t", ["y", "m"]), ("m", ["m"]), ("k", ["m"]), ("l", ["k", "l"]), ("z", ["l"])],
+    [(f"n{i:02}", [f"n{random.Random(i * 7 + j).randrange(60):02}" for j in range((1, 1, 1, 2)[i % 4])]) for i in range(60)],
+])
+def test_all_descendants(spark, rows):
+    got = [tuple(r) for r in run(spark, rows).all_descendants().collect()]
+    assert len(got) == len(set(got)) and set(got) == below(rows)
+
+
 def test_random(spark):
     r = random.Random(3)
     rows = []
