@@ -8,7 +8,7 @@ Inside the trees everything comes from Euler tours:
    What is never peeled among nodes that reach no head is exactly the cycles of single parents.
 2. Tours. Each tree's tour enters and leaves every node; its list is ranked in parallel: pointer
    doubling stops at sparse rulers (picked by hash), the far shorter list of rulers is ranked the
-   same way, down to a list small enough for one task (its size is checked).
+   same way, and so on; only a last list of few rulers (its size is checked) goes to one task.
 3. Intervals. Entry places count in preorder, so a node's interval is [entry, entry + size - 1].
    An interval is cut into aligned blocks of powers of two, and each entry lies in one block of
    each size: ancestors and descendants meet in an equality join whose result is the answer, with
@@ -26,6 +26,8 @@ of trees, and with the number of several-parent nodes on a way.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -38,8 +40,8 @@ SALTS = 64
 RULER_SPACING = 16
 """One list entry in so many is a ruler."""
 SALT_LEVEL = 16
-ONE_TASK = 400_000
-"""A list of at most so many entries is ranked by one task."""
+LAST_LIST = 20_000
+"""A list of rulers of at most so many entries is ranked by one task; the tours themselves never are."""
 
 
 def clean_edges(df: DataFrame, id: str = "id", parents: str = "parent_ids") -> tuple[DataFrame, DataFrame]:
@@ -84,21 +86,18 @@ class Hierarchy:
         while left:
             # double: the up of the up; where the up itself has left the table, its chain ends at a head
             above = step.select(F.col("id").alias("up"), F.col("up").alias("up2"))
-            step = keep(step.join(above, "up").select("id", F.col("up2").alias("up")), "up")
-            now = step.count()
+            step, now = self.s.counted(step.join(above, "up").select("id", F.col("up2").alias("up")), "up")
             if now == left:
                 break
             left = now
         self.loops = None
         if left:
             # every pointer stays inside now; images shrink to the cycles
-            image = keep(step.select(F.col("up").alias("id")).distinct(), "image")
-            size = image.count()
+            image, size = self.s.counted(step.select(F.col("up").alias("id")).distinct(), "image")
             while True:
                 above = step.select(F.col("id").alias("up"), F.col("up").alias("up2"))
                 step = keep(step.join(above, "up").select("id", F.col("up2").alias("up")), "up")
-                image = keep(step.select(F.col("up").alias("id")).distinct(), "image")
-                now = image.count()
+                image, now = self.s.counted(step.select(F.col("up").alias("id")).distinct(), "image")
                 if now == size:
                     break
                 size = now
@@ -135,7 +134,7 @@ class Hierarchy:
         )
         leave = kin.where("child is not null").select(F.concat(F.lit("-"), "id").alias("e"), onward.alias("to"), F.lit(0).cast("bigint").alias("n"), F.lit(-1).cast("bigint").alias("d"))
         links = keep(enter.unionByName(leave), "links")
-        ranked = keep(self._rank(links, 0), "ranked")
+        ranked = self._rank(links, 0)
         # after_*: sums from an entry to its list's end. Counted from the end, a node's entry is after_n - 1, its
         # subtree reaches down to what follows its leaving, and depths come with the sign changed
         enter_at = ranked.where("e like '+%'").select(F.substr("e", F.lit(2)).alias("id"), F.substr("tail", F.lit(2)).alias("head"), F.col("after_n").alias("n_in"), (-F.col("after_d")).alias("depth"))
@@ -145,38 +144,41 @@ class Hierarchy:
         )
         flat = keep(flat.withColumn("size", F.col("entry") - F.col("low") + 1), "flat")
         self.tree = keep(flat.join(flat.groupBy("head").agg(F.count("*").alias("total")), "head"), "tree")
-        self.s.drop("links", "ranked", "kin", "ends", "flat")
+        self.s.drop("links", "rank0-all", "kin", "ends", "flat")
 
     def _rank(self, links: DataFrame, level: int) -> DataFrame:
         """links (e, to, n, d), lists that end where to is null → (e, tail, after_n, after_d): the list's last entry and the sums from e to it."""
         keep, name = self.s.keep, f"rank{level}"
-        if links.count() <= ONE_TASK:
+        if level and links.count() <= LAST_LIST:
             return links.groupBy(F.lit(0).alias("one")).applyInPandas(_rank_block, "e string, tail string, after_n bigint, after_d bigint")
         # rulers: the lists' last entries and one entry in RULER_SPACING; the others run to the next ruler
         ruler = F.col("to").isNull() | (F.pmod(F.xxhash64("e", F.lit(level)), F.lit(RULER_SPACING)) == 0)
-        rulers = keep(links.where(ruler), name + "-rulers")
-        done = keep(rulers.select("e", F.col("e").alias("at"), F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("d")), name + "-done")
-        going = keep(links.where(~ruler).select("e", "to", "n", "d"), name + "-going")
-        # pointer doubling: those whose next entry is settled are settled, the rest jump
-        while going.count():
-            near = done.select(F.col("e").alias("to"), "at", F.col("n").alias("n2"), F.col("d").alias("d2"))
-            far = going.select(F.col("e").alias("to"), F.col("to").alias("to2"), F.col("n").alias("n3"), F.col("d").alias("d3"))
-            jumped = keep(
-                going.join(near, "to", "left").join(far, "to", "left")
-                .select("e", "at", F.col("to2").alias("to"), (F.col("n") + F.coalesce("n2", "n3")).alias("n"), (F.col("d") + F.coalesce("d2", "d3")).alias("d")),
-                name + "-jumped",
-            )
-            fresh = jumped.where("at is not null").select("e", "at", "n", "d")
-            done = keep(done.unionByName(fresh), name + "-done")
-            going = keep(jumped.where("at is null").select("e", "to", "n", "d"), name + "-going")
+        none = F.lit(None).cast("string")
+        step, waiting = self.s.counted(
+            links.select("e", F.when(ruler, F.col("e")).alias("at"), F.when(~ruler, F.col("to")).alias("to"), F.when(ruler, 0).otherwise(F.col("n")).alias("n"), F.when(ruler, 0).otherwise(F.col("d")).alias("d")),
+            f"{name}-step0", F.col("at").isNull(),
+        )
+        steps = [step]
+        settled = lambda: functools.reduce(DataFrame.unionByName, (x.where("at is not null").select("e", "at", "n", "d") for x in steps))
+        # pointer doubling: those whose next entry is settled are settled, the rest jump. Each round's table holds only what was open before it
+        while waiting:
+            open_ = step.where("at is null").select("e", "to", "n", "d")
+            ahead = settled().select(F.col("e").alias("to"), F.col("at").alias("at2"), none.alias("to2"), F.col("n").alias("n2"), F.col("d").alias("d2"))
+            ahead = ahead.unionByName(open_.select(F.col("e").alias("to"), none.alias("at2"), F.col("to").alias("to2"), F.col("n").alias("n2"), F.col("d").alias("d2")))
+            jumped = open_.join(ahead, "to").select("e", F.col("at2").alias("at"), F.col("to2").alias("to"), (F.col("n") + F.col("n2")).alias("n"), (F.col("d") + F.col("d2")).alias("d"))
+            step, waiting = self.s.counted(jumped, f"{name}-step{len(steps)}", F.col("at").isNull())
+            steps.append(step)
         # the list of rulers: each stands for its own entry and the run after it
+        done = settled()
         runs = done.select(F.col("e").alias("to"), "at", F.col("n").alias("n2"), F.col("d").alias("d2"))
         short = keep(
-            rulers.join(runs, "to", "left").select("e", F.col("at").alias("to"), (F.col("n") + F.coalesce("n2", F.lit(0))).alias("n"), (F.col("d") + F.coalesce("d2", F.lit(0))).alias("d")),
+            links.where(ruler).join(runs, "to", "left").select("e", F.col("at").alias("to"), (F.col("n") + F.coalesce("n2", F.lit(0))).alias("n"), (F.col("d") + F.coalesce("d2", F.lit(0))).alias("d")),
             name + "-short",
         )
         top = keep(self._rank(short, level + 1), name + "-top").withColumnRenamed("e", "at")
-        return done.join(top, "at").select("e", "tail", (F.col("n") + F.col("after_n")).alias("after_n"), (F.col("d") + F.col("after_d")).alias("after_d"))
+        out = keep(done.join(top, "at").select("e", "tail", (F.col("n") + F.col("after_n")).alias("after_n"), (F.col("d") + F.col("after_d")).alias("after_d")), name + "-all")
+        self.s.drop(*(f"{name}-step{i}" for i in range(len(steps))), name + "-short", name + "-top", f"rank{level + 1}-all")
+        return out
 
     # -- step 3
 
@@ -215,14 +217,12 @@ class Hierarchy:
         # a parent on or below a cycle of single parents has no head: from_head null
         self.grafts = keep(joints.join(place, "parent", "left").select(F.col("id").alias("head"), "parent", "from_head"), "grafts")
         links = keep(self.grafts.where("from_head is not null").select(F.col("from_head").alias("a"), F.col("head").alias("b")).distinct(), "links2")
-        stuck = keep(many.select(F.col("id").alias("b")), "stuck")  # heads not yet known to be clean
+        stuck, n = self.s.counted(many.select(F.col("id").alias("b")), "stuck")  # heads not yet known to be clean
         tainted = self.grafts.where("from_head is null").select(F.col("head").alias("b")).distinct()
         # peel from the roots: a head is clean once no link comes from a stuck head and no parent is tainted
-        n = stuck.count()
         while n:
             held = links.join(stuck.select(F.col("b").alias("a")), "a", "left_semi").select("b").union(tainted).distinct()
-            stuck = keep(stuck.join(held, "b", "left_semi"), "stuck")
-            now = stuck.count()
+            stuck, now = self.s.counted(stuck.join(held, "b", "left_semi"), "stuck")
             if now == n:
                 break
             n = now
@@ -257,8 +257,7 @@ class Hierarchy:
             # trim heads that no live link enters or leaves: they lie on no cycle
             n = live.count()
             while n:
-                live = keep(live.join(live.select(F.col("b").alias("a")).distinct(), "a", "left_semi").join(live.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b"), "live")
-                now = live.count()
+                live, now = self.s.counted(live.join(live.select(F.col("b").alias("a")).distinct(), "a", "left_semi").join(live.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b"), "live")
                 if now == n:
                     break
                 n = now
@@ -268,9 +267,10 @@ class Hierarchy:
             colour = keep(live.select(F.col("a").alias("b")).union(live.select("b")).distinct().withColumn("c", F.col("b")), "colour")
             while True:
                 reach = live.join(colour.select(F.col("b").alias("a"), F.col("c").alias("c2")), "a").groupBy("b").agg(F.max("c2").alias("c2"))
-                new = keep(colour.join(reach, "b", "left").select("b", F.greatest("c", F.coalesce("c2", "c")).alias("c"), (F.col("c2") > F.col("c")).alias("moved")), "colour")
+                new = colour.join(reach, "b", "left").select("b", F.greatest("c", F.coalesce("c2", "c")).alias("c"), (F.col("c2") > F.col("c")).alias("moved"))
+                new, moved = self.s.counted(new, "colour", F.coalesce("moved", F.lit(False)))
                 colour = new.select("b", "c")
-                if new.where("moved").isEmpty():
+                if not moved:
                     break
             same = live.join(colour.select(F.col("b").alias("a"), "c"), "a").join(colour.select("b", F.col("c").alias("c2")), "b").where("c = c2").select("a", "b", "c")
             same = keep(same, "same")
@@ -278,8 +278,7 @@ class Hierarchy:
             size = member.count()
             while True:
                 more = same.join(member.select("b", "c"), ["b", "c"], "left_semi").select(F.col("a").alias("b"), "c")
-                member = keep(member.union(more).distinct(), "member")
-                now = member.count()
+                member, now = self.s.counted(member.union(more).distinct(), "member")
                 if now == size:
                     break
                 size = now
@@ -313,8 +312,8 @@ class Hierarchy:
         hops = keep(self.grafts.join(local.select(F.col("id").alias("parent"), "rel"), "parent").join(self.stuck.select(F.col("b").alias("head")), "head", "left_anti").select("from_head", "head", "rel"), "hops")
         while True:
             last = ways[-1].select(F.col("head").alias("from_head"), "way")
-            new = keep(last.join(hops, "from_head").select("head", F.concat("way", "rel", F.array("head")).alias("way")), f"ways{len(ways)}")
-            if new.isEmpty():
+            new, n = self.s.counted(last.join(hops, "from_head").select("head", F.concat("way", "rel", F.array("head")).alias("way")), f"ways{len(ways)}")
+            if not n:
                 break
             ways.append(new)
         every = ways[0]
@@ -331,11 +330,6 @@ class Hierarchy:
         return clean.unionByName(rest)
 
     def descendants(self) -> DataFrame:
-        """(id, descendant): each node under no cycle with all nodes below it, once for each pair, over all parents."""
-        above = self.ways().select(F.explode(F.slice("way", 1, F.size("way") - 1)).alias("id"), F.col("id").alias("descendant"))
-        return above.distinct()
-
-    def all_descendants(self) -> DataFrame:
         """(id, descendant): every node with all nodes below it, once for each pair, over all parents, on and below cycles too. A node on a cycle is its own descendant.
 
         Pairs within trees come from the intervals. Between trees, and through cycles of single parents, they come
@@ -351,12 +345,10 @@ class Hierarchy:
             apart = apart.unionByName(self.edges.join(self.loops.select("id"), "id", "left_semi")).distinct()
         place = self.tree.select("id", "head").unionByName(loose)
         joints = keep(apart.join(place.select(F.col("id").alias("parent"), F.col("head").alias("a")), "parent").select("parent", "a", F.col("id").alias("b")), "joints")
-        reach = keep(joints.select("a", "b").distinct(), "reach")
-        n = reach.count()
+        reach, n = self.s.counted(joints.select("a", "b").distinct(), "reach")
         while n:
             longer = reach.join(reach.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", F.col("c").alias("b"))
-            reach = keep(reach.union(longer).distinct(), "reach")
-            now = reach.count()
+            reach, now = self.s.counted(reach.union(longer).distinct(), "reach")
             if now == n:
                 break
             n = now

@@ -7,7 +7,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +48,11 @@ class Scratch:
             self._delete(f"{self.root}/{name}-{n - 2}")
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def counted(self, df: DataFrame, name: str, only: Column | None = None) -> tuple[DataFrame, int]:
+        """keep, and how many of its rows there are (for which ``only`` holds), read from the written table."""
+        out = self.keep(df, name)
+        return out, (out if only is None else out.where(only)).count()
+
     def drop(self, *names: str) -> None:
         for name in names:
             for n in range(self.names.get(name, -1) + 1):
