@@ -4,17 +4,20 @@ Latent semantic retrieval: all texts become lists of hashed words under a normal
 typography (case, accents, ligatures, punctuation, soft and line-end hyphens, quotation prefixes).
 TF-IDF passages of WINDOW words over all documents are factorised by a distributed randomised SVD
 (Nyström form: one pass for the product of the passages' Gram matrix with a random block; the rest
-is algebra on a FEATURES x RANK block). Passages of every document are then compared by cosine in the
-latent space with passages of all items, which are one small block of queries, and each candidate
-is verified by word alignment: a continuous passage of the item in the longest common subsequence
-sense, with few words changed, dropped or added.
-
-Only the items and blocks of fixed size are broadcast. Every document is searched, whole; there is
-no cap on candidates.
+is algebra on a FEATURES x RANK block). The latent axes are scaled to equal variance, or else a few
+broad topics would make all passages alike. The items' passages are kept in lists around centroids;
+passages of every document look into the lists nearest to them, and all passages there that are near
+enough by cosine are candidates. Each is verified by word alignment: a continuous passage of the item
+in the longest common subsequence sense, with few words changed, dropped or added. A looser paraphrase
+must keep the words that answer for the item, the rarest of the passage.
+
+Items are searched in blocks of ITEM_BLOCK; only a block and matrices of fixed size are broadcast.
+Every document is searched, whole; there is no cap on candidates.
 """
 
 from __future__ import annotations
 
+import functools
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -30,15 +33,22 @@ from lapidar.runtime import Scratch
 
 WINDOW = 20
 DOC_STRIDE = 8
-ITEM_STRIDE = 2
+ITEM_STRIDE = 4
 FEATURES = 1 << 15
-RANK = 48
+RANK = 96
+ITEM_BLOCK = 10_000
+PROBE_SHARE = 8
+"""A passage looks into one list of passages in so many, the nearest ones, and at least PROBES."""
+PROBES = 4
 COSINE = 0.8
 """Passages at least so similar in the latent space are candidates."""
 SHARE = 0.45
 """Least part of an item's words that a passage must span; half of them by any other way of counting words."""
 MATCH = 0.82
 """Least part of the spanned words that are the same."""
+PARAPHRASE = 0.72
+"""The same where all answer words are: the rarest ANSWERS of the spanned words."""
+ANSWERS = 0.25
 BLOCK_WORDS = 60_000
 
 _HYPHEN = regex.compile(r"(?<=\p{L})[-­‐‑][ \t]*(?:\r\n|[\n\r ])[\s>|]*(?=\p{L})")
@@ -121,24 +131,25 @@ def _added(df: DataFrame, make, size: int) -> np.ndarray:
     step = 1 << 14
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = make(_lists(batches))
+        v = make(_lists(batches)).astype(np.float32)
         parts = [(i, v[i : i + step].tobytes()) for i in range(0, size, step)]
         yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in parts], pa.int64()), pa.array([p[1] for p in parts], pa.binary())], ["at", "v"])
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"at": [pdf["at"].iloc[0]], "v": [np.sum([np.frombuffer(x) for x in pdf["v"]], axis=0).tobytes()]})
+        return pd.DataFrame({c: [pdf[c].iloc[0]] for c in pdf.columns if c != "v"} | {"v": [np.sum([np.frombuffer(x, np.float32) for x in pdf["v"]], axis=0, dtype=np.float64).astype(np.float32).tobytes()]})
 
-    parts = df.mapInArrow(run, "at bigint, v binary")
-    # one partial sum for each of a few groups first, so that no task gets one block of every partition
-    first = parts.withColumn("g", F.pmod(F.spark_partition_id(), F.lit(32))).groupBy("at", "g").applyInPandas(lambda p: add(p.drop(columns="g")), "at bigint, v binary")
+    # partial sums for a thousand groups of partitions, then for a few, so that no task gets one block of every partition
+    parts = df.mapInArrow(run, "at bigint, v binary").withColumn("g", F.spark_partition_id())
+    for groups in (1024, 32) if df.sparkSession.sparkContext.defaultParallelism > 32 else (32,):
+        parts = parts.withColumn("g", F.pmod("g", F.lit(groups))).groupBy("at", "g").applyInPandas(lambda p: add(p), "at bigint, g int, v binary")
     out = np.zeros(size)
-    for row in first.groupBy("at").applyInPandas(add, "at bigint, v binary").collect():
-        out[row.at : row.at + step] = np.frombuffer(row.v)
+    for row in parts.drop("g").groupBy("at").applyInPandas(add, "at bigint, v binary").collect():
+        out[row.at : row.at + step] = np.frombuffer(row.v, np.float32)
     return out
 
 
-def fit(table: DataFrame) -> np.ndarray:
-    """FEATURES x RANK float32: IDF times right singular vectors of the TF-IDF passages of all rows of table (key, w)."""
+def fit(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """IDF of the features, and FEATURES x RANK float32: IDF times right singular vectors of the TF-IDF passages of all rows of table (key, w), each over its singular value."""
 
     def frequencies(lists) -> np.ndarray:
         v = np.zeros(FEATURES + 1)
@@ -177,18 +188,11 @@ def fit(table: DataFrame) -> np.ndarray:
     w, u = np.linalg.eigh(c)
     keep = w > max(w.max(), 0) * 1e-9
     if not keep.any():
-        return np.zeros((FEATURES, RANK), np.float32)
+        return idf, np.zeros((FEATURES, RANK), np.float32)
     b = z @ u[:, keep] / np.sqrt(w[keep])
-    v = np.linalg.svd(b, full_matrices=False)[0]
-    return (idf[:, None] * v).astype(np.float32)
-
-
-def _places(vocabulary: np.ndarray, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where each word stands in a sorted vocabulary, and whether it does."""
-    if not len(vocabulary):
-        return np.zeros(len(flat), np.int64), np.zeros(len(flat), bool)
-    at = np.minimum(np.searchsorted(vocabulary, flat), len(vocabulary) - 1)
-    return at, vocabulary[at] == flat
+    v, s, _ = np.linalg.svd(b, full_matrices=False)
+    some = s > s[0] * 1e-6
+    return idf, (idf[:, None] * v[:, some] / s[some]).astype(np.float32)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -214,8 +218,8 @@ def best_scores(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return best
 
 
-def aligned(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
-    """(start, end, matches) of the span of a in its best local alignment with b."""
+def aligned(a: np.ndarray, b: np.ndarray) -> tuple[int, int, np.ndarray]:
+    """(start, end, matches) of the span of a in its best local alignment with b; matches says for each word of the span whether it is matched."""
     m, n = len(a), len(b)
     h = np.zeros((n + 1, m + 1), np.int32)
     ramp = np.arange(m + 1)
@@ -224,38 +228,64 @@ def aligned(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
         t[1:] = np.maximum(t[1:], h[j - 1, :-1] + np.where(a == b[j - 1], 1, -1))
         h[j] = np.maximum.accumulate(t + ramp) - ramp
     j, i = np.unravel_index(h.argmax(), h.shape)
-    end, matches = i, 0
+    end, matches = i, np.zeros(m, bool)
     while i > 0 and j > 0 and h[j, i] > 0:
         if a[i - 1] == b[j - 1] and h[j, i] == h[j - 1, i - 1] + 1:
-            i, j, matches = i - 1, j - 1, matches + 1
+            i, j = i - 1, j - 1
+            matches[i] = True
         elif h[j, i] == h[j - 1, i - 1] - 1:
             i, j = i - 1, j - 1
         elif h[j, i] == h[j - 1, i] - 1:
             j -= 1
         else:
             i -= 1
-    return int(i), int(end), matches
+    return int(i), int(end), matches[i:end]
+
+
+def _centroids(x: np.ndarray, k: int) -> np.ndarray:
+    """k directions among the rows of x by a few rounds of spherical k-means; seeded, so that all runs agree."""
+    c = x[np.random.default_rng(7).choice(len(x), k, replace=False)]
+    for _ in range(6):
+        own = (x @ c.T).argmax(axis=1)
+        total = np.zeros_like(c)
+        np.add.at(total, own, x)
+        c = _unit(np.where(np.bincount(own, minlength=k)[:, None] > 0, total, c))
+    return c
 
 
 class Items:
-    """The items' words and their passages in the latent space."""
+    """The items' words, what each word weighs, and their passages in the latent space, in lists around centroids."""
 
-    def __init__(self, ids: list[int], lists: list[np.ndarray], latent: np.ndarray):
+    def __init__(self, ids: list[int], lists: list[np.ndarray], idf: np.ndarray, latent: np.ndarray):
         self.ids, self.words = ids, lists
+        self.weights = [idf[x & (FEATURES - 1)] for x in lists]
         offsets = np.cumsum([0] + [len(x) for x in lists])
         flat = np.concatenate(lists) if lists else np.zeros(0, np.int32)
         row, start, end = _windows(offsets, ITEM_STRIDE)
-        self.of = row
-        # which words each item has, for what a document can score against it at most
-        self.vocabulary = np.unique(flat)
-        self.has = np.zeros((len(lists), len(self.vocabulary)), bool)
-        self.has[np.repeat(np.arange(len(lists)), np.diff(offsets)), np.searchsorted(self.vocabulary, flat)] = True
-        self.passages = _unit(_sums(latent[flat & (FEATURES - 1)], start, end)) if len(flat) else np.zeros((0, latent.shape[1]), np.float32)
+        passages = _unit(_sums(latent[flat & (FEATURES - 1)], start, end)) if len(flat) else np.zeros((0, latent.shape[1]), np.float32)
+        k = max(1, int(np.sqrt(len(passages))))
+        self.centroids = _centroids(passages, k) if len(passages) else passages
+        self.probes = min(k, max(PROBES, k // PROBE_SHARE))
+        own = (passages @ self.centroids.T).argmax(axis=1) if len(passages) else np.zeros(0, np.int64)
+        order = np.argsort(own, kind="stable")
+        self.passages, self.of = passages[order], row[order]
+        self.ends = np.searchsorted(own[order], np.arange(k + 1))
 
 
 def least_score(n: int) -> float:
     """What a passage must score in alignment with an item of n words."""
-    return SHARE * (2 * MATCH - 1) * n - 2
+    return SHARE * (2 * PARAPHRASE - 1) * n - 2
+
+
+def accepted(item: np.ndarray, weight: np.ndarray, part: np.ndarray) -> tuple[float, float, float] | None:
+    """(share, matched, answers) of the best alignment of an item with a stretch of words, if it is a leak."""
+    i, j, hit = aligned(item, part)
+    if j - i < SHARE * len(item):
+        return None
+    same = float(hit.mean())
+    rare = weight[i:j] >= np.sort(weight[i:j])[-max(1, int(ANSWERS * (j - i)))]
+    answers = float(hit[rare].mean())
+    return ((j - i) / len(item), same, answers) if same >= MATCH or (same >= PARAPHRASE and answers == 1.0) else None
 
 
 def score_bound(own: np.ndarray) -> int:
@@ -274,11 +304,19 @@ def candidates(items: Items, latent: np.ndarray, flat: np.ndarray, offsets: np.n
     if not len(row) or not len(items.passages):
         return out
     docs = _unit(_sums(latent[flat & (FEATURES - 1)], start, end))
-    for at in range(0, len(docs), 1000):
-        i, q = np.nonzero(docs[at : at + 1000] @ items.passages.T >= COSINE)
+    for at in range(0, len(docs), 4000):
+        some = docs[at : at + 4000]
+        near = some @ items.centroids.T
+        k = near.shape[1] - items.probes
+        probed = near >= np.partition(near, k, axis=1)[:, k : k + 1]
+        hits = []
+        for c in np.flatnonzero(probed.any(axis=0)):
+            rows, (a, z) = np.flatnonzero(probed[:, c]), items.ends[c : c + 2]
+            x, q = np.nonzero(some[rows] @ items.passages[a:z].T >= COSINE)
+            hits.append((rows[x] + at, q + a))
+        i, q = (np.concatenate([h[n] for h in hits]) for n in (0, 1))
         if not len(i):
             continue
-        i += at
         key = row[i].astype(np.int64) * len(items.ids) + items.of[q]
         order = np.argsort(key, kind="stable")
         key, i = key[order], i[order]
@@ -291,49 +329,46 @@ def candidates(items: Items, latent: np.ndarray, flat: np.ndarray, offsets: np.n
 
 
 def leaked(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, item_id, share, matched): each document with each item whose text it holds, or a continuous passage of SHARE of its words.
+    """(doc_id, item_id, share, matched, answers): each document with each item whose text it holds, or a continuous passage of SHARE of its words.
 
-    docs has doc_id, text; items has item_id, text and is small: its size is checked (at most 100,000
-    rows), as all items are one block of queries. Null and blank texts are no case. Repeated rows
-    give repeated rows of the result.
+    docs has doc_id, text; items has item_id, text: a set of queries, searched in blocks of about ITEM_BLOCK.
+    Null and blank texts are no case. Repeated rows give repeated rows of the result.
     """
-    spark = docs.sparkSession
-    assert items.count() <= 100_000, "more items than one block of queries: search them in several calls"
-    table = Scratch(spark).keep(word_table(docs), "words")
-    rows = [r for r in items.select("item_id", "text").where("text is not null").collect()]
-    lists = list(_hashed(r.text for r in rows))
+    table = Scratch(docs.sparkSession).keep(word_table(docs), "words")
+    model = fit(table)
+    queries = items.select("item_id", "text").where("text is not null")
+    blocks = -(-queries.count() // ITEM_BLOCK) or 1
+    found = [_search(table, queries.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == n).collect(), *model) for n in range(blocks)]
+    return functools.reduce(DataFrame.unionByName, found)
+
+
+def _search(table: DataFrame, block: list, idf: np.ndarray, latent: np.ndarray) -> DataFrame:
+    """The leaks of one block of items into all documents."""
+    lists = list(_hashed(r.text for r in block))
     some = [i for i, x in enumerate(lists) if len(x)]
-    latent = fit(table)
-    queries = Items([rows[i].item_id for i in some], [lists[i] for i in some], latent)
-    sent = spark.sparkContext.broadcast((queries, latent))
+    queries = Items([block[i].item_id for i in some], [lists[i] for i in some], idf, latent)
+    sent = table.sparkSession.sparkContext.broadcast((queries, latent))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items, latent = sent.value
         for keys, flat, offsets in _lists(batches):
             found = []
-            at, hit = _places(items.vocabulary, flat)
             for (row, item), (a, z) in candidates(items, latent, flat, offsets).items():
                 reach = len(items.words[item])
-                begin, end = max(a - reach, offsets[row]), min(z + reach, offsets[row + 1])
+                part = flat[max(a - reach, offsets[row]) : min(z + reach, offsets[row + 1])]
                 # alignment can accept nothing that fails this
-                if score_bound(items.has[item][at[begin:end]] & hit[begin:end]) >= least_score(reach):
-                    found.append((row, item, flat[begin:end]))
+                if score_bound(np.isin(part, items.words[item])) >= least_score(reach):
+                    found.append((row, item, part))
             found.sort(key=lambda x: len(x[2]))
             out = []
             for at in range(0, len(found), 256):
                 some = found[at : at + 256]
                 score = best_scores([items.words[i] for _, i, _ in some], [p for _, _, p in some])
                 for (row, item, part), s in zip(some, score.tolist(), strict=True):
-                    n = len(items.words[item])
-                    if s >= least_score(n):
-                        i, j, same = aligned(items.words[item], part)
-                        if j - i >= SHARE * n and same >= MATCH * (j - i):
-                            out.append((row, items.ids[item], (j - i) / n, same / (j - i)))
+                    if s >= least_score(len(items.words[item])) and (is_leak := accepted(items.words[item], items.weights[item], part)):
+                        out.append((row, items.ids[item], *is_leak))
             if out:
                 out.sort()
-                yield pa.RecordBatch.from_arrays(
-                    [keys.take(pa.array([o[0] for o in out])), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out]), pa.array([o[3] for o in out])],
-                    ["doc_id", "item_id", "share", "matched"],
-                )
+                yield pa.RecordBatch.from_arrays([keys.take(pa.array([o[0] for o in out])), pa.array([o[1] for o in out], pa.int64()), *(pa.array([o[n] for o in out], pa.float64()) for n in (2, 3, 4))], ["doc_id", "item_id", "share", "matched", "answers"])
 
-    return table.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, item_id bigint, share double, matched double")
+    return table.mapInArrow(run, f"doc_id {dict(table.dtypes)['doc_id']}, item_id bigint, share double, matched double, answers double")
