@@ -222,7 +222,51 @@ def to_temponym(markup: Column) -> Column:
     return rename(markup, ["temponym", "temponym-fn", "dne"], "TIMEX3", new)
 
 
+def has(p: Column, name: str, attrs: dict[str, str] | None = None) -> Column:
+    """Whether a tag has that name and these attributes; an attribute that is missing counts as empty."""
+    fits = ~is_text(p) & ~p.startswith("</") & (tag_name(p) == name)
+    for k, v in (attrs or {}).items():
+        fits = fits & (F.coalesce(F.try_element_at(attributes(p), F.lit(k)), F.lit("")) == v)
+    return fits
+
+
+def retagged(markup: Column, change) -> Column:
+    """Gives start tags a new name and new attributes by change(tag) → (name, attrs), columns; end tags follow their start tags."""
+
+    def step(acc: Column, p: Column) -> Column:
+        opens, closes = ~is_text(p) & ~p.rlike(r"^</|^<[!?]"), p.startswith("</")
+        name, attrs = change(p)
+        nested = opens & ~p.endswith("/>")
+        return F.struct(
+            F.when(nested, F.concat(acc["open"], F.array(name))).when(closes, F.slice(acc["open"], 1, F.greatest(F.size(acc["open"]) - 1, F.lit(0)))).otherwise(acc["open"]).alias("open"),
+            F.concat(acc["out"], F.when(opens, _rewritten(p, name, attrs)).when(closes, F.concat(F.lit("</"), F.coalesce(F.try_element_at(acc["open"], F.lit(-1)), tag_name(p)), F.lit(">"))).otherwise(p)).alias("out"),
+        )
+
+    start = F.struct(F.array().cast("array<string>").alias("open"), F.lit("").alias("out"))
+    return F.aggregate(pieces(markup), start, step, lambda a: a["out"])
+
+
+def pilot_to_corpus(markup: Column) -> Column:
+    """Annotations of the pilot scheme in the corpus's: periods, dynasties and reigns become temponym, other names dne; time expressions of type
+    TEMPONYM become temponym of empty type; time expressions say in temporal-context whether they come from exploration or literature, or are the topic."""
+    names = ["period", "dynasty", "reign"]
+
+    def change(p: Column) -> tuple[Column, Column]:
+        a = attributes(p)
+        get = lambda k: F.coalesce(F.try_element_at(a, F.lit(k)), F.lit(""))
+        temponym = has(p, "TIMEX3", {"type": "TEMPONYM"})
+        name = F.when(tag_name(p) == "temponym-fn", F.when(get("type").isin(names), "temponym").otherwise("dne")).when(temponym, "temponym").otherwise(tag_name(p))
+        kept = F.when(temponym, F.create_map(F.lit("type"), F.lit(""))).otherwise(F.map_filter(a, lambda k, _: ~k.isin("exploration-time", "literature-time", "check", "tid")))
+        # what became of a TEMPONYM keeps its exploration time only
+        flagged = (get("exploration-time") == "true") | (~temponym & (get("literature-time") == "true"))
+        context = F.create_map(F.lit("temporal-context"), F.when(flagged, "exploration").otherwise("topic"))
+        return name, F.when(name.isin("temponym", "TIMEX3"), F.map_concat(kept, context)).otherwise(kept)
+
+    return retagged(markup, change)
+
+
 PRESETS = {
+    "pilot_to_corpus": lambda m: pilot_to_corpus(drop_declarations(m)),
     "default": lambda m: to_temponym(unwrap(drop_declarations(m), ["literature", "temponym-phrase", "TIMEX3INTERVAL", "sentence", "annotation-window"])),
     "tagged_corpus": lambda m: to_temponym(unwrap(mark_literature(drop_declarations(m)), ["literature", "temponym-phrase", "TIMEX3INTERVAL", "sentence", "annotation-window"])),
     "annotation_window": lambda m: to_temponym(unwrap(window_content(drop_declarations(m)), ["literature", "temponym-phrase", "TIMEX3INTERVAL", "sentence"])),

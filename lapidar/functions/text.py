@@ -63,6 +63,38 @@ def join_hyphenated(lines: Column, always: bool = False, known: Column | None =
     return F.when(F.size(lines) > 0, folded).otherwise(lines)
 
 
+def left_stripped(text: Column) -> Column:
+    """Each line without white space at its beginning; of blank lines nothing stays."""
+    return F.regexp_replace(text, rf"(?:^|({LINE_END})){SPACE}+", "$1")
+
+
+def argument(uri: Column, name: str) -> Column:
+    """The number that a uri's query gives under a name; null where there is none."""
+    return F.try_parse_url(uri, F.lit("QUERY"), F.lit(name)).try_cast("bigint")
+
+
+def escape_quotes(s: Column) -> Column:
+    """For terms within quotation marks of a query language."""
+    return F.replace(s, F.lit('"'), F.lit('\\"'))
+
+
+def without_pipes(s: Column) -> Column:
+    """Drops separators | with the blanks before them."""
+    return F.regexp_replace(s, rf"{SPACE}*\|", "")
+
+
+def without_prefix(label: Column) -> Column:
+    """A row's last label without B- or I-."""
+    return F.regexp_replace(label, r"[BI]-([^,]*)$", "$1")
+
+
+def text_on_lines(markup: Column) -> Column:
+    """What TEXT holds on lines of its own, and nothing before TimeML on its line."""
+    opened = F.regexp_replace(markup, r"<TEXT>([^\n])", "<TEXT>\n$1")
+    closed = F.regexp_replace(opened, r"([^\n])</TEXT>", "$1\n</TEXT>")
+    return F.regexp_replace(closed, r"(?m)^.*<TimeML><TEXT>$", "<TimeML><TEXT>")
+
+
 def escape_xml(s: Column) -> Column:
     """Only & < >; quotes stay."""
     return F.replace(F.replace(F.replace(s, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))

@@ -92,6 +92,12 @@ def with_scores(c: DataFrame) -> DataFrame:
     )
 
 
+def count_differences(df: DataFrame, a: str, b: str) -> DataFrame:
+    """One row (mean, differing): how far two counts lie apart on average, and the share of rows where they differ."""
+    gap = F.abs(F.col(a) - F.col(b))
+    return df.agg(F.round(F.avg(gap), 6).alias("mean"), F.round(F.avg((gap > 0).cast("int")), 6).alias("differing"))
+
+
 def involving(d: DataFrame, attr: str, value: str, keep: bool = True) -> DataFrame:
     """Decisions in which some tag has that value, or those in which none has."""
     has = lambda t: F.coalesce(F.try_element_at(F.col(f"{t}.attrs"), F.lit(attr)) == value, F.lit(False))

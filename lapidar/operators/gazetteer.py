@@ -19,6 +19,17 @@ def latest(df: DataFrame) -> DataFrame:
     return df.where("id is not null").groupBy("id").agg(F.max_by(rest, F.struct(F.coalesce(F.col("modified_at").cast("bigint"), F.lit(0)), F.coalesce(F.col("loaded_at").cast("bigint"), F.lit(0)), F.xxhash64(F.to_json(F.struct("begin_border", "end_border"))))).alias("r")).select("id", "r.*")
 
 
+RELATIONS = ("isListedIn", "isPartOf", "fallsWithin", "isSenseOf")
+"""The relations that make one epoch another's parent."""
+
+
+def parents(relations: Column, id: Column) -> Column:
+    """The ids that an epoch's relations (map<string, array<string>>) name as parents, each once; an error at run time if the epoch itself is among them."""
+    none = F.array().cast("array<string>")
+    every = F.array_distinct(F.flatten(F.array(*(F.coalesce(F.try_element_at(relations, F.lit(k)), none) for k in RELATIONS))))
+    return F.when(F.array_contains(every, id), F.raise_error(F.concat(F.lit("own parent: "), id)).cast("array<string>")).otherwise(every)
+
+
 def usable() -> Column:
     """All four border years are known."""
     return F.col("begin_border.earliest").isNotNull() & F.col("begin_border.latest").isNotNull() & F.col("end_border.earliest").isNotNull() & F.col("end_border.latest").isNotNull()

@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 ATTRIBUTE, RELAXED, STRICT = (f"task_type in ('{a}', '{b}')" for a, b in (("ATTRIBUTE", "ATTR"), ("TAG_RELAXED", "RELAXED"), ("TAG_STRICT", "STRICT")))
 
 
+def runs(df: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
+    """Rows of df whose value differs from the row before within their group; nulls are equal to each other."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    return df.withColumn("_n", F.row_number().over(w)).withColumn("_b", F.lag(value).over(w)).where((F.col("_n") == 1) | ~F.col("_b").eqNullSafe(F.col(value))).drop("_n", "_b")
+
+
 def false_normalised(d: DataFrame) -> DataFrame:
     return d.where(f"{ATTRIBUTE} and attr_name = 'value' and result_type = 'FN' and tag1_attr_value <> tag2_attr_value")
 

@@ -11,6 +11,17 @@ from lapidar.functions import text as T
 WORD = r"[\p{L}\p{M}\p{N}_]+(?:['’][\p{L}\p{M}]+)?|[^\s\p{L}\p{M}\p{N}_]"
 
 
+def paired(words: Column, tags: Column) -> Column:
+    """array<struct<word, tag>> of two lists by place; an error at run time if their lengths differ."""
+    both = F.zip_with(words, tags, lambda w, t: F.struct(w.alias("word"), t.alias("tag")))
+    return F.when(F.size(words) == F.size(tags), both).otherwise(F.raise_error(F.lit("lists of different length")).cast("array<struct<word:string,tag:string>>"))
+
+
+def sentence_lists(t: DataFrame, keys: list[str], order: str = "word_no", columns: tuple[str, ...] = ("word", "pos", "tag")) -> DataFrame:
+    """(keys, tokens): each sentence's tokens in order. A sentence is one row's worth by nature."""
+    return t.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, *columns))), lambda x: F.struct(*(x[c].alias(c) for c in columns))).alias("tokens"))
+
+
 def bio_table(lines: DataFrame, keys: list[str], markup: str = "line", mode: str = "default") -> DataFrame:
     """(keys, word_no, word, tag): words of each line with the label of the outermost range that holds them.
 

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import itertools
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lapidar.runtime import Scratch
+
 
 def walk(edges: DataFrame, starts: DataFrame, most: int) -> DataFrame:
-    """(start, node, depth): nodes reached from each start within most steps, at their least depth. edges (src, dst), starts (start).
+    """(start, node, depth): nodes reached from each start within most steps, at their least depth; most < 0 knows no end. edges (src, dst), starts (start).
 
-    Breadth first: each round goes on only from nodes that are new for their start.
+    Breadth first: each round goes on only from nodes that are new for their start. Without end, each round's table is written out.
     """
+    if most < 0:
+        return _walk_on(edges, starts)
     front = starts.select("start", F.col("start").alias("node")).distinct()
     seen = front.withColumn("depth", F.lit(0))
     for depth in range(1, most + 1):
@@ -20,6 +26,27 @@ def walk(edges: DataFrame, starts: DataFrame, most: int) -> DataFrame:
     return seen
 
 
+def _walk_on(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    s = Scratch(edges.sparkSession)
+    edges = s.keep(edges.select("src", "dst").distinct(), "edges")
+    front = s.keep(starts.select("start", F.col("start").alias("node")).distinct().withColumn("depth", F.lit(0)), "front0")
+    seen = front
+    for depth in itertools.count(1):
+        step = front.join(edges, front["node"] == edges["src"]).select("start", F.col("dst").alias("node")).distinct()
+        front, n = s.counted(step.join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("depth", F.lit(depth)), f"front{depth}")
+        if not n:
+            return seen
+        seen = seen.unionByName(front)
+
+
+def source_first(translations: DataFrame, inputs: DataFrame, source: str, key: str) -> DataFrame:
+    """(key, rank, lang, term): each input (key, term) at rank 0, then its translations (key, lang, term), once each: those in the source language, then by language and term."""
+    order = Window.partitionBy(key).orderBy(F.col("lang") != source, "lang", "term")
+    rest = translations.select(key, "lang", "term").distinct().withColumn("rank", F.row_number().over(order).cast("bigint"))
+    head = inputs.select(key, F.lit(source).alias("lang"), "term", F.lit(0).cast("bigint").alias("rank"))
+    return head.unionByName(rest, allowMissingColumns=False).select(key, "rank", "lang", "term")
+
+
 def similar(left: DataFrame, right: DataFrame, key: str, a: str, b: str, most: int = 3) -> DataFrame:
     """Pairs of one key whose words differ by at most so many letters, with their distance."""
     return left.join(right, key).withColumn("distance", F.levenshtein(F.col(a), F.col(b), most)).where("distance >= 0")

@@ -203,6 +203,7 @@ QUERIES = {
     )
 } | {k: _rewrite(v[0]) for k, v in REWRITES.items()}
 
+_q = lambda pattern: pattern.replace("'", "''")
 _KINDS = "".join(f"when regexp_matches(tag1_attr_value, '{form}') then '{name}' " for name, form in T.VALUE_FORMS)
 ORACLES = {
     "clean_whitespace": rf"""select doc_id, len(c)::bigint as n_lines, array_to_string(c, chr(10)) as text from (
@@ -223,6 +224,17 @@ ORACLES = {
         select *, coalesce(sum(n) over (partition by tml_id order by i rows between unbounded preceding and 1 preceding), 0)::bigint as s from (
         select tml_id, unnest(range(0, len(l))) as i, unnest(list_transform(l, lambda x: length(x)))::bigint as n from (
         select tml_id, case when l[-1] = '' then l[:-2] else l end as l from (select tml_id, regexp_split_to_array(text, '{LE}') as l from timeml_docs where text is not null))))""",
+    "sentence_split": rf"""with t as (select doc_id, regexp_replace(regexp_replace(text, '{WS}+', ' ', 'g'), '^{WS}+|{WS}+$', '', 'g') as s from documents where text is not null),
+        w as (select unnest(l) as t, unnest(list_append(l[2:], '')) as nxt from (select string_split(s, ' ') as l from t)),
+        c as (select lower(regexp_extract(t, '{_q(sentences.TOKEN)}', 1)) as word, regexp_matches(t, '{_q(sentences.DOTTED)}') as dot, regexp_matches(nxt, '{_q(sentences.GOES_ON)}') or t not like '%.' as inn from w),
+        ab as (select word from c where word <> '' group by 1 having count(*) filter (dot) >= {sentences.LEAST} and count(*) filter (dot) * 10 >= count(*) * 9 and (count(*) filter (dot and inn) * 4 >= count(*) filter (dot) or length(word) <= 3)),
+        p as (select doc_id, unnest(l) as piece, generate_subscripts(l, 1) as i from (select doc_id, string_split(regexp_replace(s, '([.!?…]) ', '\1' || chr(10) || ' ', 'g'), chr(10)) as l from t)),
+        q as (select *, lag(piece) over (partition by doc_id order by i) as b from p),
+        j as (select *, b is not null and (regexp_matches(b, '{_q(sentences.NO_END)}') or regexp_matches(piece, '^ \p{{Ll}}') or (regexp_matches(b, '{_q(sentences.SHORT_WORD)}') and regexp_matches(piece, '^ [0-9]'))
+          or lower(regexp_extract(b, '{_q(sentences.LAST_WORD)}', 1)) in (select word from ab)) as joined from q),
+        g as (select doc_id, i, piece, sum((not joined)::int) over (partition by doc_id order by i) as k from j),
+        r as (select doc_id, k, trim(string_agg(piece, '' order by i)) as sentence from g group by 1, 2)
+        select doc_id, row_number() over (partition by doc_id order by k) - 1 as sentence_no, sentence from r where sentence <> ''""",
     "random_window": f"""select doc_id, p as first_line, array_to_string(lines[p + 1 : p + case when n > 3 then 3 else greatest(n, 1) end], chr(10)) as text from (
         select doc_id, lines, len(lines) as n, case when len(lines) > 3 then (doc_id * 7919) % (len(lines) - 3) else 0 end as p from {SQL_LINES})""",
     "wrap_sentences": f"""select doc_id, '<sentence no="' || i || '">' || l || '</sentence>' as line from (select doc_id, unnest(range(1, len(lines) + 1)) as i, unnest(lines) as l from {SQL_LINES})""",

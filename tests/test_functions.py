@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lapidar.functions import markup as M
 from lapidar.functions import text as T
-from lapidar.operators import evaluate, records, sentences, tokens, translate
+from lapidar.operators import evaluate, gazetteer, records, sentences, tokens, translate
 from lapidar.plans import annotation_queries, collection_queries
 from lapidar.sources import files, paged, sinks
 
@@ -108,6 +108,54 @@ def test_sentences(spark):
     got = one(spark, "Am 19. Jahrhundert, vgl. Abb. 3. Das Haus  ist alt! Siehe S. 20f. dort. Ende", "string", sentences.split_text)
     assert got == ["Am 19. Jahrhundert, vgl.", "Abb. 3. Das Haus ist alt!", "Siehe S. 20f. dort.", "Ende"]
     assert one(spark, "", "string", sentences.split_text) == []
+    assert one(spark, "Siehe vgl. Das Haus. Es steht.", "string", lambda c: sentences.split_text(c, ("vgl",))) == ["Siehe vgl. Das Haus.", "Es steht."]
+
+
+def test_learned_abbreviations(spark):
+    rows = [("Die Mauer (vgl. die Karte) wird nach Prof. Weber datiert. Das ist alles.",)] * 6 + [("Er wird bald datiert und ist nach alles zu haben.",)] * 3 + [(None,), ("",)]
+    got = {r.word for r in sentences.abbreviations(spark.createDataFrame(rows, "text string")).collect()}
+    assert got == {"vgl"}  # Prof never goes on in small letters here and isn't short
+
+
+def test_pilot_to_corpus(spark):
+    doc = (
+        '<TimeML><temponym-fn type="reign" tid="t1">Nero <dne type="person">N</dne></temponym-fn> <temponym-fn type="place">Rom</temponym-fn> <TIMEX3 type="TEMPONYM" value="x" exploration-time="true">Eisenzeit</TIMEX3>'
+        ' <TIMEX3 type="DATE" literature-time="true">1900</TIMEX3> <TIMEX3 type="DATE" check="no">1901</TIMEX3></TimeML>'
+    )
+    want = (
+        '<TimeML><temponym type="reign" temporal-context="topic">Nero <dne type="person">N</dne></temponym> <dne type="place">Rom</dne> <temponym type="" temporal-context="exploration">Eisenzeit</temponym>'
+        ' <TIMEX3 type="DATE" temporal-context="exploration">1900</TIMEX3> <TIMEX3 type="DATE" temporal-context="topic">1901</TIMEX3></TimeML>'
+    )
+    assert one(spark, doc, "string", M.pilot_to_corpus) == want
+
+
+def test_small_text_functions(spark):
+    assert one(spark, "  a\n\n\t b\r\n c\n", "string", T.left_stripped) == "a\nb\r\nc\n"
+    assert one(spark, "http://x.org/t?b=1&arg=42", "string", lambda c: T.argument(c, "arg")) == 42
+    assert one(spark, 'a "b"', "string", T.escape_quotes) == 'a \\"b\\"'
+    assert one(spark, "a | b|c", "string", T.without_pipes) == "a bc"
+    assert one(spark, "B-x,I-date", "string", T.without_prefix) == "B-x,date"
+    assert one(spark, "<?xml?> <TimeML><TEXT>a\nb</TEXT></TimeML>", "string", T.text_on_lines) == "<TimeML><TEXT>\na\nb\n</TEXT></TimeML>"
+
+
+def test_unbounded_walk(spark):
+    edges = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(7)] + [("n7", "n2")], "src string, dst string")
+    got = {(r.node, r.depth) for r in translate.walk(edges, spark.createDataFrame([("n0",)], "start string"), -1).collect()}
+    assert got == {(f"n{i}", i) for i in range(8)}
+
+
+def test_lists_of_sentences_and_own_parents(spark):
+    import pytest
+
+    t = spark.createDataFrame([(1, 1, "b", None, "O"), (1, 0, "a", "N", "B-x")], "s int, word_no int, word string, pos string, tag string")
+    assert [(x.word, x.pos, x.tag) for x in tokens.sentence_lists(t, ["s"]).first().tokens] == [("a", "N", "B-x"), ("b", None, "O")]
+    d = spark.createDataFrame([("e", {"isPartOf": ["a", "b"], "isSenseOf": ["b", "c"], "other": ["z"]})], "id string, relations map<string,array<string>>")
+    assert d.select(gazetteer.parents(F.col("relations"), F.col("id"))).first()[0] == ["a", "b", "c"]
+    with pytest.raises(Exception, match="own parent"):
+        d.select(gazetteer.parents(F.col("relations"), F.lit("a"))).collect()
+    w = spark.createDataFrame([(["a"], ["O", "O"])], "w array<string>, t array<string>")
+    with pytest.raises(Exception, match="different length"):
+        w.select(tokens.paired(F.col("w"), F.col("t"))).collect()
 
 
 def test_walk(spark):
