@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from lapidar.runtime import Scratch
 
 WINDOW = 20
+PIECE = 4
 DOC_STRIDE = 8
 ITEM_STRIDE = 4
 FEATURES = 1 << 15
@@ -110,20 +111,38 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.nda
 
 
 def _windows(offsets: np.ndarray, stride: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, start, end) of passages: every stride words one of WINDOW words, the last one at the row's end."""
+    """(row, start, end) of passages: every stride words one of WINDOW words, in whole pieces of PIECE words; the last one reaches the row's end."""
     length = np.diff(offsets)
-    n = np.where(length == 0, 0, np.maximum(0, -(-(length - WINDOW) // stride)) + 1)
+    pieces = -(-length // PIECE)
+    last = np.maximum(pieces - WINDOW // PIECE, 0)
+    n = np.where(length == 0, 0, -(-last * PIECE // stride) + 1)
     row = np.repeat(np.arange(len(length)), n)
     k = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-    start = offsets[row] + np.minimum(k * stride, np.maximum(length[row] - WINDOW, 0))
+    start = offsets[row] + np.minimum(k * stride, last[row] * PIECE)
     return row, start, np.minimum(start + WINDOW, offsets[row + 1])
 
 
-def _sums(vectors: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Sums of vectors over [start, end)."""
-    total = np.zeros((len(vectors) + 1, vectors.shape[1]))
-    np.cumsum(vectors, axis=0, dtype=np.float64, out=total[1:])
-    return (total[end] - total[start]).astype(np.float32)
+def _sums(table: np.ndarray, f: np.ndarray, offsets: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Sums of table's rows f over passages [start, end), put together from sums over pieces. The table's last row is zero."""
+    if not len(start):
+        return np.zeros((0, table.shape[1]), np.float32)
+    pieces = -(-np.diff(offsets) // PIECE)
+    base = np.cumsum(pieces) - pieces
+    row = np.repeat(np.arange(len(pieces)), pieces)
+    first = offsets[row] + (np.arange(len(row)) - base[row]) * PIECE
+    stop = np.minimum(first + PIECE, offsets[row + 1])
+    sums = table[f[first]]
+    for j in range(1, PIECE):
+        sums += table[np.where(first + j < stop, f[np.minimum(first + j, len(f) - 1)], len(table) - 1)]
+    at = np.searchsorted(first, start)
+    out = sums[at]
+    for w in range(1, WINDOW // PIECE):
+        more = start + w * PIECE < end
+        if more.all():
+            out += sums[at + w]
+        else:
+            out[more] += sums[at[more] + w]
+    return out
 
 
 def _added(df: DataFrame, make, size: int) -> np.ndarray:
@@ -148,8 +167,12 @@ def _added(df: DataFrame, make, size: int) -> np.ndarray:
     return out
 
 
+def _with_zero(x: np.ndarray) -> np.ndarray:
+    return np.vstack([x, np.zeros((1, x.shape[1]))]).astype(np.float32)
+
+
 def fit(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """IDF of the features, and FEATURES x RANK float32: IDF times right singular vectors of the TF-IDF passages of all rows of table (key, w), each over its singular value."""
+    """IDF of the features, and FEATURES + 1 x RANK float32: IDF times right singular vectors of the TF-IDF passages of all rows of table (key, w), each over its singular value; the last row is zero."""
 
     def frequencies(lists) -> np.ndarray:
         v = np.zeros(FEATURES + 1)
@@ -163,14 +186,14 @@ def fit(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     df = _added(table, frequencies, FEATURES + 1)
     idf = np.log((1 + df[FEATURES]) / (1 + df[:FEATURES]))
     omega = np.random.default_rng(7).standard_normal((FEATURES, RANK))
-    seed = table.sparkSession.sparkContext.broadcast((idf[:, None] * omega).astype(np.float32))
+    seed = table.sparkSession.sparkContext.broadcast(_with_zero(idf[:, None] * omega))
 
     def product(lists) -> np.ndarray:
         out = np.zeros((FEATURES, RANK))
         for _, flat, offsets in lists:
             f = flat & (FEATURES - 1)
             row, start, end = _windows(offsets, WINDOW)
-            y = _sums(seed.value[f], start, end)
+            y = _sums(seed.value, f, offsets, start, end)
             # passages here overlap only at a row's end; each word takes part in the last passage that holds it
             owner = np.zeros(len(f), np.int64)
             owner[start] = np.arange(len(start))
@@ -178,7 +201,7 @@ def fit(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             order = np.argsort(f, kind="stable")
             at, first = np.unique(f[order], return_index=True)
             if len(at):
-                out[at] += np.add.reduceat(y[owner[order]], first, axis=0, dtype=np.float64)
+                out[at] += np.add.reduceat(y[owner[order]], first, axis=0)
         return out.ravel()
 
     z = _added(table, product, FEATURES * RANK).reshape(FEATURES, RANK) * idf[:, None]
@@ -188,11 +211,11 @@ def fit(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     w, u = np.linalg.eigh(c)
     keep = w > max(w.max(), 0) * 1e-9
     if not keep.any():
-        return idf, np.zeros((FEATURES, RANK), np.float32)
+        return idf, _with_zero(np.zeros((FEATURES, RANK)))
     b = z @ u[:, keep] / np.sqrt(w[keep])
     v, s, _ = np.linalg.svd(b, full_matrices=False)
     some = s > s[0] * 1e-6
-    return idf, (idf[:, None] * v[:, some] / s[some]).astype(np.float32)
+    return idf, _with_zero(idf[:, None] * v[:, some] / s[some])
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -262,7 +285,7 @@ class Items:
         offsets = np.cumsum([0] + [len(x) for x in lists])
         flat = np.concatenate(lists) if lists else np.zeros(0, np.int32)
         row, start, end = _windows(offsets, ITEM_STRIDE)
-        passages = _unit(_sums(latent[flat & (FEATURES - 1)], start, end)) if len(flat) else np.zeros((0, latent.shape[1]), np.float32)
+        passages = _unit(_sums(latent, flat & (FEATURES - 1), offsets, start, end)) if len(flat) else np.zeros((0, latent.shape[1]), np.float32)
         k = max(1, int(np.sqrt(len(passages))))
         self.centroids = _centroids(passages, k) if len(passages) else passages
         self.probes = min(k, max(PROBES, k // PROBE_SHARE))
@@ -288,22 +311,13 @@ def accepted(item: np.ndarray, weight: np.ndarray, part: np.ndarray) -> tuple[fl
     return ((j - i) / len(item), same, answers) if same >= MATCH or (same >= PARAPHRASE and answers == 1.0) else None
 
 
-def score_bound(own: np.ndarray) -> int:
-    """The most that a passage can score in alignment; own: whether the item has each of its words.
-
-    Words of the passage that the item has add 1 at most, all others take 1 off.
-    """
-    total = np.concatenate(([0], np.cumsum(np.where(own, 1, -1))))
-    return int((total - np.minimum.accumulate(total)).max())
-
-
 def candidates(items: Items, latent: np.ndarray, flat: np.ndarray, offsets: np.ndarray) -> dict[tuple[int, int], tuple[int, int]]:
     """(row, item) → the stretch of words between the first and last candidate passage."""
     row, start, end = _windows(offsets, DOC_STRIDE)
     out: dict[tuple[int, int], tuple[int, int]] = {}
     if not len(row) or not len(items.passages):
         return out
-    docs = _unit(_sums(latent[flat & (FEATURES - 1)], start, end))
+    docs = _unit(_sums(latent, flat & (FEATURES - 1), offsets, start, end))
     for at in range(0, len(docs), 4000):
         some = docs[at : at + 4000]
         near = some @ items.centroids.T
@@ -355,10 +369,7 @@ def _search(table: DataFrame, block: list, idf: np.ndarray, latent: np.ndarray)
             found = []
             for (row, item), (a, z) in candidates(items, latent, flat, offsets).items():
                 reach = len(items.words[item])
-                part = flat[max(a - reach, offsets[row]) : min(z + reach, offsets[row + 1])]
-                # alignment can accept nothing that fails this
-                if score_bound(np.isin(part, items.words[item])) >= least_score(reach):
-                    found.append((row, item, part))
+                found.append((row, item, flat[max(a - reach, offsets[row]) : min(z + reach, offsets[row + 1])]))
             found.sort(key=lambda x: len(x[2]))
             out = []
             for at in range(0, len(found), 256):

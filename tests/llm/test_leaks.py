@@ -16,14 +16,14 @@ def test_lists_find_what_all_pairs_find():
     items = [words(r, 60, vocabulary) for _ in range(200)]
     docs = [words(r, 40, vocabulary) + (items[d % 200][10:50] if d % 3 == 0 else []) + words(r, 40, vocabulary) for d in range(300)]
     hashed = [list(leaks._hashed(" ".join(x) for x in xs)) for xs in (items, docs)]
-    latent = np.random.default_rng(1).standard_normal((leaks.FEATURES, 64)).astype(np.float32)
+    latent = leaks._with_zero(np.random.default_rng(1).standard_normal((leaks.FEATURES, 64)))
     index = leaks.Items(list(range(200)), hashed[0], np.ones(leaks.FEATURES), latent)
     assert index.probes * 4 < len(index.centroids)
     offsets = np.cumsum([0] + [len(x) for x in hashed[1]])
     flat = np.concatenate(hashed[1])
     got = set(leaks.candidates(index, latent, flat, offsets))
     row, start, end = leaks._windows(offsets, leaks.DOC_STRIDE)
-    near = leaks._unit(leaks._sums(latent[flat & (leaks.FEATURES - 1)], start, end)) @ index.passages.T >= leaks.COSINE
+    near = leaks._unit(leaks._sums(latent, flat & (leaks.FEATURES - 1), offsets, start, end)) @ index.passages.T >= leaks.COSINE
     i, q = np.nonzero(near)
     brute = set(zip(row[i].tolist(), index.of[q].tolist(), strict=True))
     assert got <= brute and len(got) >= 0.98 * len(brute) >= 95
@@ -49,3 +49,17 @@ def test_blocks_of_items(spark, monkeypatch):
     monkeypatch.setattr(leaks, "ITEM_BLOCK", 5)
     got = leaks.leaked(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id bigint, text string"))
     assert {(x.doc_id, x.item_id) for x in got.collect()} == {(d, d % 12) for d in range(60)}
+
+
+def test_passages_cover_all_words():
+    r = np.random.default_rng(3)
+    lengths = [0, 1, 3, 4, 19, 20, 21, 24, 25, 57, 0, 130]
+    offsets = np.cumsum([0] + lengths)
+    f = r.integers(0, 50, offsets[-1])
+    table = leaks._with_zero(r.standard_normal((50, 3)))
+    for stride in (leaks.ITEM_STRIDE, leaks.DOC_STRIDE, leaks.WINDOW):
+        row, start, end = leaks._windows(offsets, stride)
+        seen = {x for a, z in zip(start, end, strict=True) for x in range(a, z)}
+        assert seen == set(range(offsets[-1])) and set(row.tolist()) == {i for i, n in enumerate(lengths) if n}
+        want = np.array([table[f[a:z]].sum(axis=0) for a, z in zip(start, end, strict=True)])
+        assert np.allclose(leaks._sums(table, f, offsets, start, end), want, atol=1e-4)

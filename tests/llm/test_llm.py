@@ -191,14 +191,6 @@ def test_hot_half_of_an_item(spark):
     assert {(x.doc_id, x.item_id) for x in got.collect()} == {(d, 1) for d in range(300) if d % 5 < 2}
 
 
-def test_score_bound():
-    """No passage scores more than its bound."""
-    r = random.Random(9)
-    for _ in range(200):
-        a, b = ([r.randrange(8) for _ in range(r.randrange(1, 40))] for _ in range(2))
-        assert leaks.best_scores([np.array(a)], [np.array(b)])[0] <= leaks.score_bound(np.isin(b, a))
-
-
 def test_normal_form():
     assert leaks.words("Zer­störte „Burg“ am Jahr-\n> hunderts ﬁne") == ["zerstorte", "burg", "am", "jahrhunderts", "fine"]
     assert leaks.words(None) == []
