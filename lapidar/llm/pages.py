@@ -26,7 +26,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.ml.feature import Word2Vec
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,11 +33,14 @@ from lapidar.runtime import Scratch
 
 WORDS = 200_000
 PAIRS = 300_000
-VECTOR_WORDS = 10_000
+CONTEXTS = 1_000
+REACH = 3
 VECTOR_SIZE = 16
 HEAD_SHARE = 0.25
 """A key on at least two pages and so great a part of a document's pages is a running head or foot."""
 ERROR_RATE = 0.03
+REMEMBERED = 200_000
+"""Judgements kept in each task's memory, so that a word form is judged once and not at each place."""
 SALTS = 16
 
 # What scanning makes of letters, as misread → right.
@@ -158,8 +160,22 @@ class Page:
         return bool(_BREAK.search(self.lines[self.body[k]].rstrip()))
 
 
+_cores: dict[str, tuple[str, int]] = {}
+
+
 def core(token: str, following: str = "") -> tuple[str, int]:
     """The word in a token without punctuation around it, and where it begins. A last ! is a letter if the text goes on in small letters."""
+    if "!" in token:
+        return _core(token, following)
+    got = _cores.get(token)
+    if got is None:
+        if len(_cores) > REMEMBERED:
+            _cores.clear()
+        got = _cores[token] = _core(token, "")
+    return got
+
+
+def _core(token: str, following: str) -> tuple[str, int]:
     m = _CORE.search(token)
     if not m:
         return "", 0
@@ -172,14 +188,28 @@ def core(token: str, following: str = "") -> tuple[str, int]:
     return w.rstrip(".-‐'’"), m.start()
 
 
+def glyph_class(w: str) -> str:
+    """What all misreadings of a word have in common."""
+    t = w.casefold()
+    for a, b in _FOLDS:
+        t = t.replace(a, b)
+    return t.translate(_FOLD)
+
+
+def _strange(w: str) -> bool:
+    return any(not c.isalpha() or c in PLAIN for c in w)
+
+
+CLASS_COUNT = 20
 _PARTS = regex.compile(r"[^'’\-‐]+")
 
 
 class Vocabulary:
     """Counts of words, neighbours and letter sequences, and word vectors; judges words."""
 
-    def __init__(self, words: dict[str, int], pairs: dict[tuple[str, str], int], compounds: dict[str, int], vectors: dict[str, np.ndarray]):
-        self.words, self.pairs, self.compounds, self.vectors = words, pairs, compounds, vectors
+    def __init__(self, words: dict[str, int], pairs: dict[tuple[str, str], int], compounds: dict[str, int], contexts: dict[str, np.ndarray], places: dict[str, int], vectors: np.ndarray):
+        self.words, self.pairs, self.compounds = words, pairs, compounds
+        self.contexts, self.places, self.vectors = contexts, places, vectors
         # letter sequences of names, and of other words
         self.grams: tuple[Counter, Counter] = (Counter(), Counter())
         self.heads: tuple[Counter, Counter] = (Counter(), Counter())
@@ -190,6 +220,12 @@ class Vocabulary:
                 for i in range(3, len(x) + 1):
                     self.grams[name][x[max(0, i - 4) : i]] += min(n, 50) if name else n
                     self.heads[name][x[max(0, i - 4) : i - 1]] += min(n, 50) if name else n
+        # frequent words by what misreading leaves of them
+        self.classes: dict[str, list[str]] = {}
+        for w, n in words.items():
+            if n >= CLASS_COUNT and len(w) >= 5 and w.isalpha():
+                self.classes.setdefault(glyph_class(w), []).append(w)
+        self._alone: dict[str, str | None] = {}
         self._known: dict[str, tuple[tuple[str, int], ...]] = {}
 
     def count(self, w: str) -> int:
@@ -207,7 +243,7 @@ class Vocabulary:
         """Words linked to w; remembered."""
         got = self._known.get(w)
         if got is None:
-            if len(self._known) > 200_000:
+            if len(self._known) > REMEMBERED:
                 self._known.clear()
             got = self._known[w] = self._links(w)
         return got
@@ -219,21 +255,60 @@ class Vocabulary:
         found = [(x, n) for x in one if x.isalpha() and (n := self.count(x)) >= 3]
         if not found and len(w) >= 4:
             found = [(x, n) for y in one for x in set(edited(y)) if x != w and x.isalpha() and (n := self.count(x)) >= 3]
+            # misread in more places: frequent words of the same class, if the context's vectors are near theirs
+            found = found or [(x, self.count(x)) for x in self.classes.get(glyph_class(w), ()) if x[0].isupper() == w[0].isupper() and have * 5 <= self.count(x)]
         return tuple(sorted({f for f in found if f[1] > have}, key=lambda f: (-f[1], f[0])))
 
     def _context(self, w: str, n: int, before: str, after: str) -> float:
         return 0.05 * n + self.pairs.get((before, w), 0) + self.pairs.get((w, after), 0) + 0.1
 
-    def _likeness(self, w: str, around: list[str]) -> float:
-        v = self.vectors.get(w.lower())
-        near = [x for a in around if (x := self.vectors.get(a.lower())) is not None]
-        if v is None or not near:
+    def surroundings(self, around: list[str]) -> np.ndarray | None:
+        found = [x for a in around if (x := self.contexts.get(a.lower())) is not None]
+        return np.sum(found, axis=0) if found else None
+
+    def likeness(self, w: str, here: np.ndarray | None, own: bool = False) -> float:
+        """How near a word's vector, the sum of its surroundings all over the texts, is to the surroundings here; own: without this very place."""
+        at = self.places.get(w.lower())
+        if at is None or here is None:
+            return 0.0
+        v = self.vectors[at] - here if own else self.vectors[at]
+        size = float(np.linalg.norm(v))
+        return float(v @ here) / (size * float(np.linalg.norm(here)) + 1e-9) if size > 1e-3 else 0.0
+
+    def kinship(self, w: str, x: str) -> float:
+        """How near two words' vectors are: a misread word stands where the right one does."""
+        a, b = self.places.get(w.lower()), self.places.get(x.lower())
+        if a is None or b is None or a == b:
             return 0.0
-        m = np.mean(near, axis=0)
-        return float(v @ m / (np.linalg.norm(m) + 1e-9))
+        v, u = self.vectors[a], self.vectors[b]
+        return float(v @ u) / (float(np.linalg.norm(v)) * float(np.linalg.norm(u)) + 1e-9)
 
     def part(self, w: str, before: str, after: str, around: list[str]) -> str:
         """The right form of a word without hyphens and apostrophes."""
+        alone = self.alone(w)
+        if alone is not None:
+            return alone
+        strange = _strange(w)
+        have = self.count(w)
+        here = self.surroundings(around)
+        mine = 0.0 if strange else self.likeness(w, here, own=True)
+        own = self._context(w, have, before, after)
+        best, score = w, 0.0
+        for x, n in self.near(w):
+            s = math.log(ERROR_RATE) + math.log(self._context(x, n, before, after) / own) + 2 * (self.likeness(x, here) - mine + self.kinship(w, x))
+            if s > score or (strange and best == w):
+                best, score = x, s
+        return best if best != w else self._by_letters(w)
+
+    def alone(self, w: str) -> str | None:
+        """The right form where the context has no say; None where links are to be weighed. Remembered."""
+        if w not in self._alone:
+            if len(self._alone) > REMEMBERED:
+                self._alone.clear()
+            self._alone[w] = self._judged(w)
+        return self._alone[w]
+
+    def _judged(self, w: str) -> str | None:
         if _DIGITAL.match(w):
             return w.translate(str.maketrans("lIOo", "1100"))
         if _ROMAN.match(w) and w not in self.words:
@@ -243,24 +318,15 @@ class Vocabulary:
             return fixed if self.count(fixed) > self.count(w) else w
         if _NUMERAL.match(w) or w.isdigit() or not any(c.isalpha() for c in w) or (len(w) < 2):
             return w
-        strange = any(not c.isalpha() or c in PLAIN for c in w)
-        if strange and sum(c.isdigit() for c in w) > len(w) / 2:
+        if _strange(w) and sum(c.isdigit() for c in w) > len(w) / 2:
             return w
-        have = self.count(w)
-        links = self.near(w)
-        if links:
-            mine = 0.0 if strange else self._likeness(w, around)
-            own = self._context(w, have, before, after)
-            best, score = w, 0.0
-            for x, n in links:
-                s = math.log(ERROR_RATE) + math.log(self._context(x, n, before, after) / own) + 2 * (self._likeness(x, around) - mine)
-                if s > score or (strange and best == w):
-                    best, score = x, s
-            if best != w:
-                return best
-        if have >= 20 and not strange:
+        return None if self.near(w) else self._by_letters(w)
+
+    def _by_letters(self, w: str) -> str:
+        """The form of a word that no link explains, by its letter sequences."""
+        strange = _strange(w)
+        if self.count(w) >= 20 and not strange:
             return w
-        # too rare to be linked: by letters
         if strange:
             forms = {"".join(PLAIN.get(c, c) for c in w)} | {x for x in edited(w) if x.isalpha()}
             forms |= {x for y in list(edited(w)) for x in edited(y) if x.isalpha()} if not any(f.isalpha() for f in forms) else set()
@@ -276,8 +342,10 @@ class Vocabulary:
         return w
 
     def word(self, w: str, before: str, after: str, around: list[str]) -> str:
-        if self.compounds.get(w, 0) >= 20:
+        if self.compounds and self.compounds.get(w, 0) >= 20:
             return w
+        if w.isalnum():
+            return self.part(w, before, after, around)
         return _PARTS.sub(lambda m: self.part(m.group(), before, after, around), w)
 
     def join(self, a: str, b: str) -> str | None:
@@ -316,6 +384,86 @@ def _marks(row: dict) -> dict[int, str]:
     return {m["line_no"]: m["kind"] for m in row["marks"] or ()}
 
 
+def _pairs(words: list[str], contexts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(place of a word, number of a context word) for each word and each context word within REACH words of it."""
+    at = np.array([contexts.get(w, -1) for w in words], np.int64)
+    place, other = [], []
+    for step in range(1, REACH + 1):
+        left, right = np.arange(len(at) - step), np.arange(step, len(at))
+        for a, b in ((left, right), (right, left)):
+            known = at[b] >= 0
+            place.append(a[known])
+            other.append(at[b][known])
+    return np.concatenate(place), np.concatenate(other)
+
+
+def skip_grams(texts: DataFrame, words: dict[str, int]) -> tuple[dict[str, np.ndarray], dict[str, int], np.ndarray]:
+    """Vectors of context words; and of all words, rare ones too: (place of each word, vectors).
+
+    Skip-gram vectors as the factorisation that the method's objective comes to: the positive pointwise mutual information of
+    the CONTEXTS most frequent words within REACH words of each other, counted over all texts, gives the context vectors;
+    a word's vector is the sum of the context vectors around it, all over the texts. Sums are of whole numbers, so that
+    the result doesn't hang on the order of rows.
+    """
+    lower: Counter = Counter()
+    for w, n in words.items():
+        if w.isalpha():
+            lower[w.lower()] += n
+    chosen = [w for w, _ in sorted(lower.items(), key=lambda x: (-x[1], x[0]))[:CONTEXTS]]
+    number = {w: i for i, w in enumerate(chosen)}
+    size = len(chosen)
+    if not size:
+        return {}, {}, np.zeros((0, VECTOR_SIZE), np.float32)
+
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros((size, size), np.int32)
+        for b in batches:
+            for w in b.column(0).to_pylist():
+                w = [x.lower() for x in w]
+                at = np.array([number.get(x, -1) for x in w], np.int64)
+                place, other = _pairs(w, number)
+                known = at[place] >= 0
+                np.add.at(n, (at[place[known]], other[known]), 1)
+        i, j = np.nonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(i * size + j, pa.int64()), pa.array(n[i, j], pa.int64())], ["k", "n"])
+
+    counted = texts.mapInArrow(together, "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
+    n = np.zeros(size * size)
+    n[counted["k"].to_numpy()] = counted["n"].to_numpy()
+    n = n.reshape(size, size)
+    total = max(n.sum(), 1)
+    share = n.sum(axis=1) / total
+    with np.errstate(divide="ignore", invalid="ignore"):
+        pmi = np.nan_to_num(np.log(n / total / (share[:, None] * share[None, :])), nan=0.0, neginf=0.0, posinf=0.0)
+    values, axes = np.linalg.eigh(np.maximum(pmi, 0))
+    most = np.argsort(-values)[:VECTOR_SIZE]
+    basis = axes[:, most] * np.sqrt(np.maximum(values[most], 0)) * (1e-3 / (1e-3 + share))[:, None]
+    basis = np.pad(basis, ((0, 0), (0, VECTOR_SIZE - basis.shape[1])))
+    whole = np.rint(basis / (np.abs(basis).max() + 1e-12) * 1e6).astype(np.int64)
+
+    def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row: dict[str, int] = {}
+        sums = np.zeros((1024, VECTOR_SIZE), np.int64)
+        seen = np.zeros(1024, np.int64)
+        for b in batches:
+            for w in b.column(0).to_pylist():
+                w = [x.lower() for x in w]
+                at = np.array([row.setdefault(x, len(row)) for x in w], np.int64)
+                while len(row) > len(sums):
+                    sums, seen = np.vstack([sums, np.zeros_like(sums)]), np.concatenate([seen, np.zeros_like(seen)])
+                place, other = _pairs(w, number)
+                np.add.at(sums, at[place], whole[other])
+                np.add.at(seen, at, 1)
+        k = len(row)
+        yield pa.RecordBatch.from_arrays([pa.array(list(row), pa.string()), pa.array(seen[:k], pa.int64()), *(pa.array(sums[:k, d], pa.int64()) for d in range(VECTOR_SIZE))], ["w", "n", *(f"v{d}" for d in range(VECTOR_SIZE))])
+
+    dims = [f"v{d}" for d in range(VECTOR_SIZE)]
+    sums = texts.mapInArrow(around, "w string, n bigint, " + ", ".join(f"{d} bigint" for d in dims)).groupBy("w").agg(F.sum("n").alias("n"), *(F.sum(d).alias(d) for d in dims))
+    kept = sums.where("n >= 2").orderBy(F.desc("n"), "w").limit(WORDS).toArrow()
+    vectors = np.stack([kept[d].to_numpy() for d in dims], axis=1).astype(np.float32) / 1e6
+    return {w: (whole[i] / 1e6).astype(np.float32) for w, i in number.items()}, {w: i for i, w in enumerate(kept["w"].to_pylist())}, vectors
+
+
 class ScannedPages:
     """The analysis of one table of pages (page_id, doc, page_no, text); frames are read back from the shared folder.
 
@@ -399,16 +547,8 @@ class ScannedPages:
         counts = self.s.keep(counts, "counts")
         top = lambda t, least, most: counts.where((F.col("t") == t) & (F.col("n") >= least)).orderBy(F.desc("n"), "a", "b").limit(most).collect()
         words = {r.a: r.n for r in top("w", 2, WORDS)}
-        least = sorted(words.values(), reverse=True)[: VECTOR_WORDS][-1] if words else 1
-        vectors: dict[str, np.ndarray] = {}
-        lower = texts.select(F.transform("w", lambda x: F.lower(x)).alias("w"))
-        if words and max(words.values()) >= 5:
-            split = min(32, spark.sparkContext.defaultParallelism)
-            model = Word2Vec(vectorSize=VECTOR_SIZE, minCount=max(5, least), numPartitions=split, maxIter=1, windowSize=3, seed=3, inputCol="w", outputCol="v", maxSentenceLength=500).fit(lower)
-            for r in model.getVectors().collect():
-                v = r.vector.toArray().astype(np.float32)
-                vectors[r.word] = v / (np.linalg.norm(v) + 1e-9)
-        return Vocabulary(words, {(r.a, r.b): r.n for r in top("p", 5, PAIRS)}, {r.a: r.n for r in top("c", 2, WORDS)}, vectors)
+        contexts, places, vectors = skip_grams(texts, words)
+        return Vocabulary(words, {(r.a, r.b): r.n for r in top("p", 5, PAIRS)}, {r.a: r.n for r in top("c", 2, WORDS)}, contexts, places, vectors)
 
     def defects(self) -> DataFrame:
         """(page_id, line_no, defect, repaired), equal rows once for each page."""
