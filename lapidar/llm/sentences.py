@@ -12,9 +12,10 @@ What is certain: blank lines and line ends that aren't from hard wrapping end a
 closed quotation or bracket don't. A line end is from wrapping if the next line's first word
 wouldn't have fitted in the widest line.
 
-Counting is one aggregation of n-grams per pass, pre-added within each partition; the model keeps
-the VOCABULARY most frequent words, all others by their shape, and at most NGRAMS n-grams, so its
-size is bounded. Decisions are made document by document, without shuffle.
+Texts are cut into words once, into a table that all passes read. Counting is one aggregation of n-grams
+per pass, pre-added within each task; the model keeps about the VOCABULARY most frequent words, all
+others by their shape, and about NGRAMS n-grams, in whole classes of equal counts, so that its size is
+bounded and no script goes before another. Decisions are made document by document, without shuffle.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lapidar.runtime import Scratch
+
 VOCABULARY = 20_000
 LEAST_COUNT = 6
 NGRAMS = 600_000
@@ -37,6 +40,10 @@ ENOUGH = 4.0
 RUN_EDGE = 6
 """Letters that stand for the beginning and the end of a run without spaces."""
 
+CUT_ROWS = 2_000
+FLUSH = 300_000
+"""Counts that a task keeps in memory before it hands them on."""
+
 END = "<s>"
 CERTAIN, GAP, AFTER = 0, 1, 2
 _TOKEN = regex.compile(
@@ -313,17 +320,16 @@ class EventModel:
             out[g] = f1 * back[1] / z if z > 0 else 0.0
 
 
-def _ngrams(block: Block, known: frozenset[str], events: list[bool] | None, into: Counter) -> None:
-    """Counts a block's trigrams (u, v, w, kind). If the event of a gap is hidden, the three words that end after it are counted as GAP, those that begin before it as AFTER."""
-    words = [classify(w, known) for w in block.words]
+def _ngrams(words: list[str], open_: list[bool], events: list[bool] | None, into: Counter) -> None:
+    """Counts a block's trigrams of word classes (u, v, w, kind). If the event of a gap is hidden, the three words that end after it are counted as GAP, those that begin before it as AFTER."""
     stream: list[str | None] = ["", END, words[0]]
     for i in range(1, len(words)):
-        if block.open[i]:
+        if open_[i]:
             if events is None:
                 into[words[i - 2] if i > 1 else "", words[i - 1], words[i], GAP] += 1
                 if i + 1 == len(words):
                     into[words[i - 1], words[i], END, AFTER] += 1
-                elif not block.open[i + 1]:
+                elif not open_[i + 1]:
                     into[words[i - 1], words[i], words[i + 1], AFTER] += 1
                 stream += [None, words[i]]
                 continue
@@ -385,72 +391,135 @@ def _settle(counts: dict[tuple[str, str, str, int], int]) -> dict[tuple[str, str
     return out
 
 
-def _texts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[str]:
-    for b in batches:
-        for x in b.column(column):
-            t = x.as_py()
-            if t and t.strip():
-                yield t
+_CUT = ("words array<string>", "open array<boolean>", "starts array<int>", "ends array<int>", "sizes array<int>")
 
 
-def _vocabulary(texts: DataFrame) -> frozenset[str]:
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n: Counter = Counter()
-        for t in _texts(batches, 0):
-            for block in blocks(t):
-                n.update(block.words)
-        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["w", "n"])
+def cut(df: DataFrame, key: str) -> DataFrame:
+    """(key, text, words, open, starts, ends, sizes): each text that isn't blank with its blocks one after another; sizes: the words of each block."""
+    chosen = df.select(key, "text")
+    kinds = (pa.string(), pa.bool_(), pa.int32(), pa.int32(), pa.int32())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, CUT_ROWS):
+                part = b.slice(at, CUT_ROWS)
+                ids: list[int] = []
+                cols: list[list[list]] = [[], [], [], [], []]
+                for i, x in enumerate(part.column(1)):
+                    text = x.as_py()
+                    if not text or not text.strip():
+                        continue
+                    ids.append(i)
+                    found = list(blocks(text))
+                    for c, name in zip(cols, ("words", "open", "starts", "ends"), strict=False):
+                        c.append([v for block in found for v in getattr(block, name)])
+                    cols[4].append([len(block.words) for block in found])
+                yield pa.RecordBatch.from_arrays([*(part.column(c).take(pa.array(ids, pa.int32())) for c in (0, 1)), *(pa.array(c, pa.list_(t)) for c, t in zip(cols, kinds, strict=True))], [key, "text", *(c.split()[0] for c in _CUT)])
+
+    return chosen.mapInArrow(run, f"{key} {dict(chosen.dtypes)[key]}, text string, {', '.join(_CUT)}")
+
+
+def _blocks_of(words: list[str], open_: list[bool], sizes: list[int]) -> Iterator[tuple[list[str], list[bool]]]:
+    at = 0
+    for n in sizes:
+        yield words[at : at + n], open_[at : at + n]
+        at += n
+
+
+class Classes(dict):
+    """The class of each word, worked out once."""
+
+    def __init__(self, known: frozenset[str]):
+        self.known = known
 
-    most = texts.mapInArrow(count, "w string, n bigint").groupBy("w").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_COUNT)
-    return frozenset(r.w for r in most.orderBy(F.desc("n"), "w").limit(VOCABULARY).collect())
+    def __missing__(self, word: str) -> str:
+        if len(self) > FLUSH:
+            self.clear()
+        got = self[word] = classify(word, self.known)
+        return got
 
 
-def _learn(texts: DataFrame, known: frozenset[str], model: EventModel | None) -> EventModel:
+def _least(counts: DataFrame, most: int, least: int) -> int:
+    """The least count for which at most so many rows of counts (n) have it or more: whole classes of equal counts stay or go."""
+    sizes = sorted(((r.n, r.rows) for r in counts.where(F.col("n") >= least).groupBy("n").agg(F.count("*").alias("rows")).collect()), reverse=True)
+    total, bound = 0, sizes[0][0] + 1 if sizes else least
+    for n, rows in sizes:
+        total += rows
+        if total > most:
+            break
+        bound = n
+    return bound
+
+
+def _vocabulary(table: DataFrame, keep) -> frozenset[str]:
+    counts = keep(table.select(F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("n")), "words")
+    return frozenset(counts.where(F.col("n") >= _least(counts, VOCABULARY, LEAST_COUNT)).select("w").toArrow()["w"].to_pylist())
+
+
+def _learn(table: DataFrame, known: frozenset[str], model: EventModel | None, keep) -> EventModel:
     """A model of all texts: open gaps hidden, or decided by the model given."""
-    spark = texts.sparkSession
-    sent = spark.sparkContext.broadcast((known, model))
+    sent = table.sparkSession.sparkContext.broadcast((known, model))
+
+    def rows(n: Counter) -> pa.RecordBatch:
+        keys = list(n)
+        cols = [pa.array([k[i] for k in keys], pa.string()) for i in range(3)]
+        return pa.RecordBatch.from_arrays([*cols, pa.array([k[3] for k in keys], pa.int32()), pa.array(list(n.values()), pa.int64())], ["u", "v", "w", "h", "n"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, model = sent.value
+        classes = Classes(known)
         n: Counter = Counter()
-        for t in _texts(batches, 0):
-            for block in blocks(t):
-                events = None if model is None else [x > 0.5 for x in model.posteriors([classify(w, known) for w in block.words], block.open)]
-                _ngrams(block, known, events, n)
-        keys = list(n)
-        cols = [pa.array([k[i] for k in keys], pa.string()) for i in range(3)]
-        cols.append(pa.array([k[3] for k in keys], pa.int32()))
-        yield pa.RecordBatch.from_arrays([*cols, pa.array(list(n.values()), pa.int64())], ["u", "v", "w", "h", "n"])
+        for b in batches:
+            for row in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                for words, open_ in _blocks_of(*row):
+                    words = [classes[w] for w in words]
+                    _ngrams(words, open_, None if model is None else [x > 0.5 for x in model.posteriors(words, open_)], n)
+                if len(n) > FLUSH:
+                    yield rows(n)
+                    n.clear()
+        yield rows(n)
+
+    grams = table.select("words", "open", "sizes").mapInArrow(count, "u string, v string, w string, h int, n bigint").groupBy("u", "v", "w", "h").agg(F.sum("n").alias("n"))
+    grams = keep(grams, "grams")
+    kept = grams.where(F.col("n") >= _least(grams, NGRAMS, 1)).toArrow()
+    return EventModel(known, _settle(dict(zip(zip(*(kept[c].to_pylist() for c in "uvwh"), strict=True), kept["n"].to_pylist(), strict=True))))
+
 
-    grams = texts.mapInArrow(count, "u string, v string, w string, h int, n bigint").groupBy("u", "v", "w", "h").agg(F.sum("n").alias("n"))
-    kept = grams.orderBy(F.desc("n"), "u", "v", "w", "h").limit(NGRAMS).collect()
-    return EventModel(known, _settle({(r.u, r.v, r.w, r.h): r.n for r in kept}))
+def _train(table: DataFrame, keep) -> EventModel:
+    known = _vocabulary(table, keep)
+    return _learn(table, known, _learn(table, known, None, keep), keep)
 
 
 def train(df: DataFrame) -> EventModel:
     """The model of df's texts, learnt in two rounds."""
-    texts = df.select("text")
-    known = _vocabulary(texts)
-    return _learn(texts, known, _learn(texts, known, None))
+    keep = Scratch(df.sparkSession).keep
+    return _train(keep(cut(df.select("text", F.lit(0).alias("key")), "key"), "blocks"), keep)
 
 
 def split(text: str | None, model: EventModel) -> list[tuple[int, int, float]]:
     """(start, end, sure) of each unit; offsets in characters without white space and invisible marks at the ends; sure is its end's posterior."""
-    out = []
-    for block in blocks(text) if text and text.strip() else ():
-        prob = model.posteriors([classify(w, model.known) for w in block.words], block.open)
+    if not text or not text.strip():
+        return []
+    found = list(blocks(text))
+    flat = [[v for block in found for v in getattr(block, name)] for name in ("words", "open", "starts", "ends")]
+    return _units(text, *flat, [len(block.words) for block in found], model, Classes(model.known))
+
+
+def _units(text: str, words: list[str], open_: list[bool], starts: list[int], ends: list[int], sizes: list[int], model: EventModel, classes: Classes) -> list[tuple[int, int, float]]:
+    out, at = [], 0
+    for n, (own, gaps) in zip(sizes, _blocks_of(words, open_, sizes), strict=True):
+        prob = model.posteriors([classes[w] for w in own], gaps)
         first = 0
-        for i in range(1, len(block.words) + 1):
-            if i == len(block.words) or prob[i] > 0.5:
-                last = block.starts[i] if i < len(block.words) else block.ends[-1]
-                a, b = block.starts[first], last
+        for i in range(1, n + 1):
+            if i == n or prob[i] > 0.5:
+                a, b = starts[at + first], starts[at + i] if i < n else ends[at + n - 1]
                 part = text[a:b]
                 lead, tail = _EDGE.match(part), len(part)
                 while tail and _EDGE.fullmatch(part[tail - 1]):
                     tail -= 1
-                a += lead.end() if lead else 0
-                out.append((a, block.starts[first] + tail, prob[i] if i < len(block.words) else 1.0))
+                out.append((a + (lead.end() if lead else 0), a + tail, prob[i] if i < n else 1.0))
                 first = i
+        at += n
     return [x for x in out if x[0] < x[1]]
 
 
@@ -460,16 +529,17 @@ def sentence_units(df: DataFrame, key: str = "tml_id", model: EventModel | None
     Null, empty and blank texts give no row, a text without letters one unit per line. Repeated rows
     give repeated rows; other columns are ignored, an earlier splitter's too.
     """
-    sent = df.sparkSession.sparkContext.broadcast(model or train(df))
-    chosen = df.select(key, "text")
+    keep = Scratch(df.sparkSession).keep
+    table = keep(cut(df, key), "blocks")
+    sent = df.sparkSession.sparkContext.broadcast(model or _train(table, keep))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
+        classes = Classes(model.known)
         for b in batches:
             ids, cols = [], [[], [], [], [], []]
-            for i, x in enumerate(b.column(1)):
-                text = x.as_py()
-                for n, (s, e, p) in enumerate(split(text, model)):
+            for i, (text, *row) in enumerate(zip(*(b.column(c).to_pylist() for c in range(1, 7)), strict=True)):
+                for n, (s, e, p) in enumerate(_units(text, *row, model, classes)):
                     ids.append(i)
                     for c, value in zip(cols, (n, s, e, round(p, 6), text[s:e]), strict=True):
                         c.append(value)
@@ -478,4 +548,4 @@ def sentence_units(df: DataFrame, key: str = "tml_id", model: EventModel | None
                 [key, "sentence_no", "start_pos", "end_pos", "confidence", "sentence"],
             )
 
-    return chosen.mapInArrow(run, f"{key} {dict(chosen.dtypes)[key]}, sentence_no bigint, start_pos bigint, end_pos bigint, confidence double, sentence string")
+    return table.select(key, "text", *(c.split()[0] for c in _CUT)).mapInArrow(run, f"{key} {dict(table.dtypes)[key]}, sentence_no bigint, start_pos bigint, end_pos bigint, confidence double, sentence string")
