@@ -44,32 +44,39 @@ def plain_text(markup: Column) -> Column:
 def spans(markup: Column) -> Column:
     """array of SPAN, in document order: half-open character offsets in the plain text, depth from 0, names of the elements around, outermost first."""
 
+    kind = "array<struct<tag_seq:int,name:string,tag:string,start:int,end:int,depth:int,ancestors:array<string>>>"
+    state = f"struct<at:int,seq:int,open:{_OPEN},done:{kind}>"
+
+    def now(at: Column, seq: Column, open_: Column, done: Column) -> Column:
+        return F.struct(at.alias("at"), seq.alias("seq"), open_.alias("open"), done.alias("done")).cast(state)
+
+    def bound(x: Column, f) -> Column:
+        """f of x, x worked out once."""
+        return F.transform(F.array(x), f)[0]
+
+    def closed(acc: Column, p: Column) -> Column:
+        def with_rest(last: Column, rest: Column) -> Column:
+            done = F.struct(
+                last["seq"].alias("tag_seq"), last["name"].alias("name"), last["tag"].alias("tag"), last["start"].alias("start"), acc["at"].alias("end"),
+                F.size(rest).alias("depth"), F.transform(rest, lambda o: o["name"]).alias("ancestors"),
+            )
+            return now(acc["at"], acc["seq"], rest, F.concat(acc["done"], F.array(done).cast(kind)))
+
+        def with_last(last: Column) -> Column:
+            return F.when(last.isNull(), acc).otherwise(bound(F.filter(acc["open"], lambda o: o["seq"] < last["seq"]), lambda rest: with_rest(last, rest)))
+
+        return bound(tag_name(p), lambda name: bound(F.try_element_at(F.filter(acc["open"], lambda o: o["name"] == name), F.lit(-1)), with_last))
+
     def step(acc: Column, p: Column) -> Column:
-        opens = ~is_text(p) & ~p.rlike(r"^</|^<[!?]|/>$")
-        closes = p.startswith("</")
-        near = F.filter(acc["open"], lambda o: o["name"] == tag_name(p))
-        last = F.element_at(near, -1)
-        matched = closes & (F.size(near) > 0)
-        rest = F.filter(acc["open"], lambda o: o["seq"] < last["seq"])
-        done = F.struct(
-            last["seq"].alias("tag_seq"),
-            last["name"].alias("name"),
-            last["tag"].alias("tag"),
-            last["start"].alias("start"),
-            acc["at"].alias("end"),
-            F.size(rest).alias("depth"),
-            F.transform(rest, lambda o: o["name"]).alias("ancestors"),
-        )
         new = F.struct(acc["seq"].alias("seq"), tag_name(p).alias("name"), p.alias("tag"), acc["at"].alias("start"))
-        return F.struct(
-            F.when(is_text(p), acc["at"] + F.length(T.unescape_xml(p))).otherwise(acc["at"]).alias("at"),
-            F.when(opens, acc["seq"] + 1).otherwise(acc["seq"]).alias("seq"),
-            F.when(opens, F.concat(acc["open"], F.array(new))).when(matched, rest).otherwise(acc["open"]).cast(_OPEN).alias("open"),
-            F.when(matched, F.concat(acc["done"], F.array(done))).otherwise(acc["done"]).alias("done"),
+        return (
+            F.when(is_text(p), now(acc["at"] + F.length(T.unescape_xml(p)), acc["seq"], acc["open"], acc["done"]))
+            .when(p.startswith("</"), closed(acc, p))
+            .when(p.rlike(r"^<[!?]|/>$"), acc)
+            .otherwise(now(acc["at"], acc["seq"] + 1, F.concat(acc["open"], F.array(new).cast(_OPEN)), acc["done"]))
         )
 
-    kind = "array<struct<tag_seq:int,name:string,tag:string,start:int,end:int,depth:int,ancestors:array<string>>>"
-    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("seq"), F.array().cast(_OPEN).alias("open"), F.array().cast(kind).alias("done"))
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("seq"), F.array().cast(_OPEN).alias("open"), F.array().cast(kind).alias("done")).cast(state)
     found = F.aggregate(pieces(markup), start, step, lambda a: F.array_sort(a["done"]))
     return F.transform(
         found,

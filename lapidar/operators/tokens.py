@@ -41,9 +41,12 @@ def bio_table(lines: DataFrame, keys: list[str], markup: str = "line", mode: str
     base = base.select(*keys, "w", named.alias("named"))
     # the text node's start decides which ranges hold its words
     tagged = F.transform("w", lambda w: F.struct(w["word"].alias("word"), F.try_element_at(F.array_sort(F.filter("named", lambda s: (s["start"] <= w["at"]) & (w["at"] < s["end"]))), F.lit(1)).alias("s")))
-    rows = base.select(*keys, F.posexplode_outer(tagged).alias("word_no", "t"))
-    first = Window.partitionBy(*keys, F.col("t.s.seq")).orderBy("word_no")
-    tag = F.when(F.col("t.s").isNull(), "O").when(F.row_number().over(first) == 1, F.concat(F.lit("B-"), "t.s.label")).otherwise(F.concat(F.lit("I-"), "t.s.label"))
+    # a range's first word is where its number stands first
+    place = lambda t, seqs: F.transform(t, lambda x, i: F.struct(x["word"].alias("word"), x["s"]["label"].alias("label"), (F.array_position(seqs, x["s"]["seq"]) == i + 1).alias("first")))
+    # arrays around t and seqs: each is worked out once
+    placed = F.flatten(F.transform(F.array(tagged), lambda t: F.flatten(F.transform(F.array(F.transform(t, lambda x: x["s"]["seq"])), lambda seqs: place(t, seqs)))))
+    rows = base.select(*keys, F.posexplode_outer(placed).alias("word_no", "t"))
+    tag = F.when(F.col("t.label").isNull(), "O").otherwise(F.concat(F.when(F.col("t.first"), "B-").otherwise("I-"), "t.label"))
     return rows.select(*keys, F.coalesce("word_no", F.lit(0)).cast("bigint").alias("word_no"), F.coalesce("t.word", F.lit(".")).alias("word"), tag.alias("tag"))
 
 

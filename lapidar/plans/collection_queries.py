@@ -151,13 +151,6 @@ def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def triple_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All labels of the subjects that carry an English name of at most 20 subjects, as its SQL has it; all_triple_labels has every name."""
-    e = _labelled(spark, sf_dir)
-    rare = e.where("lang = 'en'").groupBy("label").agg(F.count("*").alias("n")).where("n <= 20").select(F.col("label").alias("term"))
-    return X.labels_of(e, rare)
-
-
-def all_triple_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All labels of the subjects that carry an English name, for every English name, however frequent."""
     return X.labels_of(_labelled(spark, sf_dir))
 
@@ -166,7 +159,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         desc_exclusion, url_pattern_select, url_pattern_union, hosts_urls, hosts_common, pattern_cooccurrence, record_projection, sample_records, earliest_year, clean_period_name,
-        format_year_range, usable_by_language, representative_epoch, norm_lines, temponym_vote, merge_translations, similar_term, term_walk, triple_labels, all_triple_labels,
+        format_year_range, usable_by_language, representative_epoch, norm_lines, temponym_vote, merge_translations, similar_term, term_walk, triple_labels,
     )
 }
 
@@ -178,6 +171,7 @@ _NAMES = f"(select distinct lang, name, id from (select id, lang, {_NAME('raw')}
 _Y = lambda b, f: f"case when {b}.{f} is null then 'None' else printf('%+05d', {b}.{f}) end"
 _RANGE = "'[' || " + " || ', ' || ".join(f"case when {b} is null then 'None' else {_Y(b, 'earliest')} || ', ' || {_Y(b, 'latest')} end" for b in ("begin_border", "end_border")) + " || ']'"
 _USABLE = "coalesce(begin_border.earliest is not null and begin_border.latest is not null and end_border.earliest is not null and end_border.latest is not null, false)"
+_LATEST = "(select * exclude k from (select *, row_number() over (partition by id order by coalesce(epoch(modified_at)::bigint, 0) desc, coalesce(epoch(loaded_at)::bigint, 0) desc) as k from epochs where id is not null) where k = 1)"
 ORACLES = {
     "desc_exclusion": f"with {SQL_RECORDS} select id, n as n_urls from (select id, len(list_filter(urls, lambda u: coalesce(u.\"desc\" not in ('Online', 'Contents'), true))) as n from rec) where n > 0",
     "url_pattern_select": f"with {SQL_RECORDS} select id, n as n_urls from (select id, {_hit(PATTERNS[0])} as n from rec) where n > 0",
@@ -192,6 +186,14 @@ ORACLES = {
     "clean_period_name": f"select lang, name, count(*) as n_epochs from {_NAMES} group by 1, 2",
     "format_year_range": f"select id, {_RANGE} as range, coalesce(end_border.latest - begin_border.earliest, 0)::bigint as years, {_USABLE} as usable from (select distinct id, begin_border, end_border from epochs)",
     "usable_by_language": f"select lang, count(*) as n from (select distinct id, unnest(map_keys(names)) as lang from epochs where {_USABLE}) group by 1",
+    "norm_lines": rf"""with e as {_LATEST} select distinct lang, name, '"' || name || '","' || {_RANGE} || ',[' || chr(39) || 'http://example.org/period/' || id || chr(39) || ']"' as line
+        from (select id, lang, {_NAME('raw')} as name from (select id, lang, unnest(l) as raw from (select id, unnest(map_keys(names)) as lang, unnest(map_values(names)) as l from e))) n join e using (id) where name <> '' and {_USABLE}""",
+    "representative_epoch": rf"""with recursive e as {_LATEST},
+        n as (select distinct lang, name, id from (select id, lang, {_NAME('raw')} as name from (select id, lang, unnest(l) as raw from (select id, unnest(map_keys(names)) as lang, unnest(map_values(names)) as l from e))) where name <> ''),
+        p as (select id, list_transform(list_filter(coalesce(parent_ids, []), lambda x: x is not null), lambda x: regexp_replace(x, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')) as ps from e),
+        w as (select lang, name, list_sort(list(id)) as ids, list_sort(list(id)) as stay, 1::bigint as k from n group by 1, 2
+          union all select lang, name, ids, case when list_has_any(ps, list_filter(stay, lambda x: x <> ids[k])) then list_filter(stay, lambda x: x <> ids[k]) else stay end, k + 1 from w join p on p.id = w.ids[k])
+        select lang, name, arg_min(id, (-coalesce(end_border.latest - begin_border.earliest, 0), id)) as id from (select lang, name, unnest(stay) as id from w where k > len(ids)) join e using (id) group by 1, 2""",
     "temponym_vote": """select de_name as pattern, printf('[%+05d, %+05d, %+05d, %+05d],[''%s'']', b1, b1 + 5, b1 + 50, b1 + 60, key::varchar) as norm from (
         select p_name as de_name, case p_partkey % 5 when 0 then 'U' when 1 then 'no' when 2 then '' when 3 then null else 'Usable' end as de_vote, case when p_partkey % 2 = 0 then 'Uncertain' else 'x' end as vote_general,
         (p_partkey % 900 - 450)::int as b1, p_partkey as key from part) where substr(de_vote, 1, 1) = 'U' or ((substr(de_vote, 1, 1) = '' or de_vote is null) and substr(vote_general, 1, 1) = 'U')""",
@@ -201,6 +203,6 @@ ORACLES = {
     "term_walk": """with recursive e as (select 'n' || n_nationkey as src, 'r' || n_regionkey as dst from nation union all select 'r' || n_regionkey, 'n' || n_nationkey from nation union all select 's' || s_suppkey, 'n' || s_nationkey from supplier),
         w as (select 's' || s_suppkey as start, 's' || s_suppkey as node, 0 as depth from supplier union select start, dst, depth + 1 from w join e on node = src where depth < 2) select start, node, min(depth)::bigint as depth from w group by 1, 2""",
     "triple_labels": """with e as (select distinct subject, lang, label from (select id as subject, lang, unnest(l) as label from (select id, unnest(map_keys(names)) as lang, unnest(map_values(names)) as l from epochs)) where label is not null),
-        r as (select label as term from e where lang = 'en' group by 1 having count(*) <= 20)
+        r as (select distinct label as term from e where lang = 'en')
         select term, array_to_string(list_sort(list(distinct l)), '|') as labels from (select term, x.lang || ':' || x.label as l from r join e on e.label = term and e.lang = 'en' join e x on x.subject = e.subject) group by 1""",
 }

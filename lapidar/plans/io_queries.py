@@ -51,7 +51,7 @@ def spotted_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = table(spark, sf_dir, "events").schema
     stream = windows.folder_stream(spark, sf_dir, schema, "events.parquet")
-    return windows.drained(spark, stream, windows.event_counts).select("event_type", F.unix_timestamp("window_start").alias("window_start"), "n", F.round("total", 4).alias("total"))
+    return windows.drained(spark, stream, windows.event_counts, ["window_start", "event_type"]).select("event_type", F.unix_timestamp("window_start").alias("window_start"), "n", F.round("total", 4).alias("total"))
 
 
 def unprocessed_docs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 import zipfile
 from pathlib import Path
+from typing import ClassVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 
@@ -21,6 +22,8 @@ def shared_dir(spark: SparkSession) -> str:
         own = spark.sparkContext._jsc.sc().getCheckpointDir()
         named = own.get() if own.isDefined() else None
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="lapidar-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -32,11 +35,14 @@ class Scratch:
     ``keep`` writes a frame and returns it as read back (its size is then known to the planner);
     of a name's tables the last two stay, as each is made from the one before. ``drop`` removes
     tables that no later step reads. What the caller's result still reads stays in the folder,
-    below one path for each operator call; ``close`` removes it once the result is written.
+    below one path for each operator call; ``close`` removes it once the result is written, ``release`` what all calls left.
     """
 
+    made: ClassVar[list[Scratch]] = []
+
     def __init__(self, spark: SparkSession):
         self.spark = spark
+        Scratch.made.append(self)
         self.root = f"{shared_dir(spark)}/lapidar-{uuid.uuid4().hex}"
         self.names: dict[str, int] = {}
 
@@ -67,13 +73,19 @@ class Scratch:
         p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def release() -> None:
+    """Removes the tables of all operator calls so far; to be called when their results are written."""
+    while Scratch.made:
+        Scratch.made.pop().close()
+
+
 def spread(scan: DataFrame) -> DataFrame:
     """A scan dealt out over all cores where its files give fewer splits than that; larger scans stay as they are.
 
     Only for plain scans ahead of costly Python work: counting the splits plans the frame.
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(3 * cores) if scan._jdf.queryExecution().toRdd().getNumPartitions() < 2 * cores else scan
+    return scan.repartition(3 * cores) if scan.rdd.getNumPartitions() < 2 * cores else scan
 
 
 _shipped: set[str] = set()
