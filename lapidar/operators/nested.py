@@ -16,14 +16,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 AUTHOR_GROUPS = ("primary", "secondary", "corporate")
-NODE = "array<struct<path:string,body:string>>"
+_GROUPS = ",".join(f"{g}:{{0}}" for g in AUTHOR_GROUPS)
+RAW = f"urls:string,publicationDates:string,parts:string,title:string,authors:struct<{_GROUPS.format('string')}>"
+LIST = f"urls:array<string>,publicationDates:array<string>,parts:array<string>,authors:struct<{_GROUPS.format('array<string>')}>"
+NODE = f"array<struct<path:string,raw:struct<{RAW}>,list:struct<{LIST}>>>"
+"""A record or part: its fields as raw text, and as lists where they are; each text is parsed once either way."""
 ROW = "array<struct<part_path:string,field:string,pos:bigint,value:string>>"
 
-_RAW = "urls string, publicationDates string, parts string, authors string"
-_LIST = "urls array<string>, publicationDates array<string>, parts array<string>"
-_AUTHORS_RAW = "authors struct<primary:string,secondary:string,corporate:string>"
-_AUTHORS_LIST = "authors struct<primary:array<string>,secondary:array<string>,corporate:array<string>>"
-
 
 def json_object_text(payload: Column) -> Column:
     """The text from the first ``{`` on; null unless a complete JSON object starts there."""
@@ -58,19 +57,19 @@ def _entries(as_list: Column, raw: Column) -> Column:
     return F.coalesce(as_list, F.when(raw.isNotNull(), F.array(raw)), F.array().cast("array<string>"))
 
 
+def _node(path: Column, body: Column) -> Column:
+    return F.struct(path.alias("path"), F.from_json(body, f"struct<{RAW}>").alias("raw"), F.from_json(body, f"struct<{LIST}>").alias("list"))
+
+
 def _children(node: Column) -> Column:
     """The parts of a node, each with its path of indexes. Entries that aren't objects keep their index but are no part."""
-    parsed = F.from_json(node["body"], "parts array<string>")["parts"]
-    raw = F.from_json(node["body"], "parts string")["parts"]
     prefix = F.when(node["path"] == "", F.lit("")).otherwise(F.concat(node["path"], F.lit(".")))
-    return F.filter(
-        F.transform(_entries(parsed, raw), lambda p, i: F.struct(F.concat(prefix, i.cast("string")).alias("path"), p.alias("body"))),
-        lambda c: c["body"].isNotNull() & _is_object(c["body"]),
-    )
+    entries = F.transform(_entries(node["list"]["parts"], node["raw"]["parts"]), lambda p, i: F.struct(F.concat(prefix, i.cast("string")).alias("path"), p.alias("body")))
+    return F.transform(F.filter(entries, lambda c: c["body"].isNotNull() & _is_object(c["body"])), lambda c: _node(c["path"], c["body"]))
 
 
 def all_nodes(body: Column) -> Column:
-    """The record and all its parts at every level, as array<struct<path, body>>.
+    """The record and all its parts at every level, as NODE.
 
     The fold takes as many steps as the text mentions the key, which is never less than the depth;
     once no part is left, further steps work on an empty array. A text that escapes letters could
@@ -78,7 +77,7 @@ def all_nodes(body: Column) -> Column:
     """
     named = F.size(F.split(body, '"parts"', -1)) - 1
     steps = F.when(body.rlike(r"\\u00[67]"), F.size(F.split(body, r"\{", -1))).otherwise(named)
-    root = F.array(F.struct(F.lit("").alias("path"), body.alias("body"))).cast(NODE)
+    root = F.array(_node(F.lit(""), body)).cast(NODE)
     start = F.struct(root.alias("all"), root.alias("last"))
 
     def deeper(state: Column, _: Column) -> Column:
@@ -104,26 +103,22 @@ def _inside(entry: Column, key: str) -> Column:
 
 
 def url_rows(node: Column) -> Column:
-    values = _entries(F.from_json(node["body"], "urls array<string>")["urls"], F.from_json(node["body"], "urls string")["urls"])
-    return _rows(node, "urls", F.transform(values, lambda e: _inside(e, "url")))
+    return _rows(node, "urls", F.transform(_entries(node["list"]["urls"], node["raw"]["urls"]), lambda e: _inside(e, "url")))
 
 
 def date_rows(node: Column) -> Column:
     key = "publicationDates"
-    values = _entries(F.from_json(node["body"], f"{key} array<string>")[key], F.from_json(node["body"], f"{key} string")[key])
-    return _rows(node, key, F.transform(values, lambda e: _inside(e, "date")))
+    return _rows(node, key, F.transform(_entries(node["list"][key], node["raw"][key]), lambda e: _inside(e, "date")))
 
 
 def author_rows(node: Column) -> Column:
     """Names are entries of a list (strings or objects with a name), keys of an object, or a single string."""
-    lists = F.from_json(node["body"], _AUTHORS_LIST)["authors"]
-    raws = F.from_json(node["body"], _AUTHORS_RAW)["authors"]
     out = []
     for g in AUTHOR_GROUPS:
-        raw, as_list = raws[g], lists[g]
-        named = F.when(as_list.isNull() & _is_object(raw) & F.from_json(raw, "name string")["name"].isNotNull(), F.array(F.from_json(raw, "name string")["name"]))
-        keys = F.when(as_list.isNull() & _is_object(raw), F.json_object_keys(raw))
-        values = F.coalesce(F.transform(as_list, lambda e: _inside(e, "name")), named, keys, _entries(as_list, raw))
+        raw, as_list = node["raw"]["authors"][g], node["list"]["authors"][g]
+        name = F.from_json(raw, "name string")["name"]
+        shaped = F.when(as_list.isNull() & _is_object(raw), F.when(name.isNotNull(), F.array(name)).otherwise(F.json_object_keys(raw)))
+        values = F.coalesce(F.transform(as_list, lambda e: _inside(e, "name")), shaped, _entries(as_list, raw))
         out.append(_rows(node, f"authors.{g}", values))
     return F.concat(*out)
 
@@ -150,6 +145,6 @@ def part_table(df: DataFrame) -> DataFrame:
         n["path"].alias("part_path"),
         F.when(n["path"] == "", F.lit(None).cast("string")).otherwise(F.regexp_replace(n["path"], r"\.?[0-9]+$", "")).alias("parent_path"),
         F.when(n["path"] == "", F.lit(0)).otherwise(F.size(F.split(n["path"], r"\."))).alias("level"),
-        F.from_json(n["body"], "title string")["title"].alias("title"),
+        n["raw"]["title"].alias("title"),
     )
     return nodes.select("record_id", F.inline(F.transform("nodes", row)))

@@ -257,7 +257,7 @@ def test_labels_of_frequent_names(spark, tmp_path):
     """A name of more than 20 subjects is looked up like any other."""
     names = [(f"e{i:02}", {"en": ["Iron Age", None], "de": [f"Eisenzeit {i % 7}"]}) for i in range(30)] + [("e99", {"en": ["Rare"], "fr": None}), ("e98", None)]
     spark.createDataFrame(names, "id string, names map<string,array<string>>").write.parquet(f"{tmp_path}/epochs.parquet")
-    got = {r.term: r.labels for r in collection_queries.QUERIES["all_triple_labels"](spark, str(tmp_path)).collect()}
+    got = {r.term: r.labels for r in collection_queries.QUERIES["triple_labels"](spark, str(tmp_path)).collect()}
     assert got == {"Iron Age": "|".join([*(f"de:Eisenzeit {i}" for i in range(7)), "en:Iron Age"]), "Rare": "en:Rare"}
 
 
