@@ -51,6 +51,9 @@ GLYPHS = (
 EDITS: dict[str, list[str]] = {}
 for _pair in GLYPHS.split("|"):
     EDITS.setdefault(_pair.split()[0], []).append(_pair.split()[1])
+MISREADINGS: dict[str, list[str]] = {}
+for _pair in GLYPHS.split("|"):
+    MISREADINGS.setdefault(_pair.split()[1], []).append(_pair.split()[0])
 PLAIN = {"!": "i", "8": "s", "0": "o", "1": "l", "6": "b", "5": "s", "ſ": "f", "ﬁ": "fi", "ﬂ": "fl"}
 HYPHENS = "-‐­¬=–"
 CONJUNCTIONS = {"und", "oder", "bis", "bzw", "sowie", "and", "or", "to", "et", "ou", "e", "ed", "o", "y", "u"}
@@ -196,6 +199,16 @@ def glyph_class(w: str) -> str:
     return t.translate(_FOLD)
 
 
+_ACCENTS = str.maketrans("éèáàäóíìúüß", "eeaaaoiiuub")
+# what is left of each letter: small upright strokes are nothing, as any of them may be misread as others
+_STROKES = str.maketrans({"w": "vv", "d": "e", "c": "e", "y": "v", "q": "g", "t": "f"} | dict.fromkeys("mnurilhb", ""))
+
+
+def strokes(w: str) -> str:
+    """What words have in common that letter edits lead from one to another."""
+    return unicodedata.normalize("NFC", w).replace("ß", "b").casefold().translate(_ACCENTS).translate(_STROKES)
+
+
 def _strange(w: str) -> bool:
     return any(not c.isalpha() or c in PLAIN for c in w)
 
@@ -225,6 +238,12 @@ class Vocabulary:
         for w, n in words.items():
             if n >= CLASS_COUNT and len(w) >= 5 and w.isalpha():
                 self.classes.setdefault(glyph_class(w), []).append(w)
+        # and all words that count as right by their strokes
+        self.strokes: dict[str, list[str]] = {}
+        for w, n in words.items():
+            if len(w) >= 3 and w.isalpha() and n + self.count(w[0].upper() + w[1:]) >= 3:
+                self.strokes.setdefault(strokes(w), []).append(w)
+        self._sources: dict[str, frozenset[str]] = {}
         self._alone: dict[str, str | None] = {}
         self._known: dict[str, tuple[tuple[str, int], ...]] = {}
 
@@ -254,11 +273,26 @@ class Vocabulary:
         one = set(edited(w))
         found = [(x, n) for x in one if x.isalpha() and (n := self.count(x)) >= 3]
         if not found and len(w) >= 4:
-            found = [(x, n) for y in one for x in set(edited(y)) if x != w and x.isalpha() and (n := self.count(x)) >= 3]
+            if _strange(w):
+                far = {x for y in one for x in edited(y)}
+            else:
+                # words of the same strokes are all that two edits can lead to
+                mates = self.strokes.get(strokes(w), ())
+                far = {x for m in mates if abs(len(m) - len(w)) <= 2 for x in (m, m[0].upper() + m[1:]) if x != w and not one.isdisjoint(self.sources(x))}
+            found = [(x, n) for x in far if x != w and x.isalpha() and (n := self.count(x)) >= 3]
             # misread in more places: frequent words of the same class, if the context's vectors are near theirs
             found = found or [(x, self.count(x)) for x in self.classes.get(glyph_class(w), ()) if x[0].isupper() == w[0].isupper() and have * 5 <= self.count(x)]
         return tuple(sorted({f for f in found if f[1] > have}, key=lambda f: (-f[1], f[0])))
 
+    def sources(self, x: str) -> frozenset[str]:
+        """The forms that one edit makes x of; remembered."""
+        got = self._sources.get(x)
+        if got is None:
+            if len(self._sources) > REMEMBERED // 10:
+                self._sources.clear()
+            got = self._sources[x] = frozenset(edited(x, MISREADINGS))
+        return got
+
     def _context(self, w: str, n: int, before: str, after: str) -> float:
         return 0.05 * n + self.pairs.get((before, w), 0) + self.pairs.get((w, after), 0) + 0.1
 
@@ -361,10 +395,10 @@ class Vocabulary:
         return kept if h > n else whole
 
 
-def edited(w: str) -> Iterator[str]:
+def edited(w: str, edits: dict[str, list[str]] = EDITS) -> Iterator[str]:
     for i in range(len(w)):
         for size in (1, 2):
-            for right in EDITS.get(w[i : i + size], ()):
+            for right in edits.get(w[i : i + size], ()):
                 if i + size <= len(w):
                     yield w[:i] + right + w[i + size :]
 

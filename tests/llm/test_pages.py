@@ -55,3 +55,21 @@ def test_classes_take_in_more_than_two_errors():
     voc = pages.Vocabulary({"beziehung": 80}, {}, {}, {}, {}, np.zeros((0, 2), np.float32))
     assert pages.glyph_class("bczichnng") == pages.glyph_class("beziehung")
     assert voc.near("bczichnng") == (("beziehung", 80),)
+
+
+def test_two_errors_are_found_as_by_trying_all_edits():
+    import random
+
+    r = random.Random(5)
+    words = "Mauer Grenze Brücke Hafen Tempel murallas torre ciudad fouilles ville céramique abandonnée terrazza monumento village mortar archive building Schmelzgrube".split()
+    voc = pages.Vocabulary(dict.fromkeys(words, 9), {}, {}, {}, {}, np.zeros((0, 2), np.float32))
+    found = 0
+    for x in words * 30:
+        w = r.choice(sorted(pages.edited(r.choice(sorted(pages.edited(x, pages.MISREADINGS)) or [x]), pages.MISREADINGS)) or [x])
+        one = set(pages.edited(w))
+        if len(w) < 4 or not w.isalpha() or pages._strange(w) or any(y in words for y in one):
+            continue
+        want = {z for y in one for z in pages.edited(y) if z != w and z in words and voc.count(z) > voc.count(w)}
+        assert {z for z, _ in voc.near(w)} >= want
+        found += bool(want)
+    assert found > 50
