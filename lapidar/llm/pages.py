@@ -35,6 +35,7 @@ WORDS = 200_000
 PAIRS = 300_000
 CONTEXTS = 1_000
 REACH = 3
+RUN_WORDS = 50_000
 VECTOR_SIZE = 16
 HEAD_SHARE = 0.25
 """A key on at least two pages and so great a part of a document's pages is a running head or foot."""
@@ -418,17 +419,18 @@ def _marks(row: dict) -> dict[int, str]:
     return {m["line_no"]: m["kind"] for m in row["marks"] or ()}
 
 
-def _pairs(words: list[str], contexts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    """(place of a word, number of a context word) for each word and each context word within REACH words of it."""
-    at = np.array([contexts.get(w, -1) for w in words], np.int64)
-    place, other = [], []
-    for step in range(1, REACH + 1):
-        left, right = np.arange(len(at) - step), np.arange(step, len(at))
-        for a, b in ((left, right), (right, left)):
-            known = at[b] >= 0
-            place.append(a[known])
-            other.append(at[b][known])
-    return np.concatenate(place), np.concatenate(other)
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[str]]:
+    """Words of many texts in small letters, REACH empty ones after each text."""
+    out: list[str] = []
+    for b in batches:
+        for w in b.column(0).to_pylist():
+            out += [x.lower() for x in w]
+            out += [""] * REACH
+            if len(out) > RUN_WORDS:
+                yield out
+                out = []
+    if out:
+        yield out
 
 
 def skip_grams(texts: DataFrame, words: dict[str, int]) -> tuple[dict[str, np.ndarray], dict[str, int], np.ndarray]:
@@ -450,14 +452,15 @@ def skip_grams(texts: DataFrame, words: dict[str, int]) -> tuple[dict[str, np.nd
         return {}, {}, np.zeros((0, VECTOR_SIZE), np.float32)
 
     def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros((size, size), np.int32)
-        for b in batches:
-            for w in b.column(0).to_pylist():
-                w = [x.lower() for x in w]
-                at = np.array([number.get(x, -1) for x in w], np.int64)
-                place, other = _pairs(w, number)
-                known = at[place] >= 0
-                np.add.at(n, (at[place[known]], other[known]), 1)
+        n = np.zeros(size * size, np.int64)
+        for words in _runs(batches):
+            at = np.array([number.get(x, -1) for x in words], np.int64)
+            for step in range(1, REACH + 1):
+                left, right = at[:-step], at[step:]
+                known = (left >= 0) & (right >= 0)
+                left, right = left[known], right[known]
+                n += np.bincount(np.concatenate([left * size + right, right * size + left]), minlength=size * size)
+        n = n.reshape(size, size)
         i, j = np.nonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(i * size + j, pa.int64()), pa.array(n[i, j], pa.int64())], ["k", "n"])
 
@@ -475,19 +478,27 @@ def skip_grams(texts: DataFrame, words: dict[str, int]) -> tuple[dict[str, np.nd
     basis = np.pad(basis, ((0, 0), (0, VECTOR_SIZE - basis.shape[1])))
     whole = np.rint(basis / (np.abs(basis).max() + 1e-12) * 1e6).astype(np.int64)
 
+    padded = np.vstack([whole, np.zeros((1, VECTOR_SIZE), np.int64)])
+
     def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row: dict[str, int] = {}
         sums = np.zeros((1024, VECTOR_SIZE), np.int64)
         seen = np.zeros(1024, np.int64)
-        for b in batches:
-            for w in b.column(0).to_pylist():
-                w = [x.lower() for x in w]
-                at = np.array([row.setdefault(x, len(row)) for x in w], np.int64)
-                while len(row) > len(sums):
-                    sums, seen = np.vstack([sums, np.zeros_like(sums)]), np.concatenate([seen, np.zeros_like(seen)])
-                place, other = _pairs(w, number)
-                np.add.at(sums, at[place], whole[other])
-                np.add.at(seen, at, 1)
+        for words in _runs(batches):
+            at = np.array([row.setdefault(x, len(row)) if x else -1 for x in words], np.int64)
+            while len(row) > len(sums):
+                sums, seen = np.vstack([sums, np.zeros_like(sums)]), np.concatenate([seen, np.zeros_like(seen)])
+            own = padded[[number.get(x, -1) for x in words]]
+            near = np.zeros_like(own)
+            for step in range(1, REACH + 1):
+                near[:-step] += own[step:]
+                near[step:] += own[:-step]
+            shown = np.flatnonzero(at >= 0)
+            order = shown[np.argsort(at[shown], kind="stable")]
+            which, first, times = np.unique(at[order], return_index=True, return_counts=True)
+            if len(which):
+                sums[which] += np.add.reduceat(near[order], first, axis=0)
+                seen[which] += times
         k = len(row)
         yield pa.RecordBatch.from_arrays([pa.array(list(row), pa.string()), pa.array(seen[:k], pa.int64()), *(pa.array(sums[:k, d], pa.int64()) for d in range(VECTOR_SIZE))], ["w", "n", *(f"v{d}" for d in range(VECTOR_SIZE))])
 
