@@ -7,8 +7,9 @@ Inside the trees everything comes from Euler tours:
    that are 2^k-th ancestor of none are those that 2^k rounds of peeling leaves would take off.
    What is never peeled among nodes that reach no head is exactly the cycles of single parents.
 2. Tours. Each tree's tour enters and leaves every node; its list is ranked in parallel: pointer
-   doubling stops at sparse rulers (picked by hash), the far shorter list of rulers is ranked the
-   same way, and so on; only a last list of few rulers (its size is checked) goes to one task.
+   doubling stops at sparse rulers (picked by hash) and at the lists' ends, the far shorter lists of
+   rulers are ranked the same way, and so on; only last lists of few rulers (their size is checked) go
+   to one task. A list that has no ruler left is ranked and goes no further, however many lists there are.
 3. Intervals. Entry places count in preorder, so a node's interval is [entry, entry + size - 1].
    An interval is cut into aligned blocks of powers of two, and each entry lies in one block of
    each size: ancestors and descendants meet in an equality join whose result is the answer, with
@@ -133,7 +134,7 @@ class Hierarchy:
             F.when(F.col("child").isNotNull(), 1).otherwise(0).cast("bigint").alias("d"),
         )
         leave = kin.where("child is not null").select(F.concat(F.lit("-"), "id").alias("e"), onward.alias("to"), F.lit(0).cast("bigint").alias("n"), F.lit(-1).cast("bigint").alias("d"))
-        links = keep(enter.unionByName(leave), "links")
+        links = keep(enter.unionByName(leave).withColumn("tail", F.when(F.col("to").isNull(), F.col("e"))), "links")
         ranked = self._rank(links, 0)
         # after_*: sums from an entry to its list's end. Counted from the end, a node's entry is after_n - 1, its
         # subtree reaches down to what follows its leaving, and depths come with the sign changed
@@ -147,36 +148,38 @@ class Hierarchy:
         self.s.drop("links", "rank0-all", "kin", "ends", "flat")
 
     def _rank(self, links: DataFrame, level: int) -> DataFrame:
-        """links (e, to, n, d), lists that end where to is null → (e, tail, after_n, after_d): the list's last entry and the sums from e to it."""
+        """links (e, to, n, d, tail), lists that end where to is null, there with the tail to be named → (e, tail, after_n, after_d): the list's tail and the sums from e to its end."""
         keep, name = self.s.keep, f"rank{level}"
         if level and links.count() <= LAST_LIST:
             return links.groupBy(F.lit(0).alias("one")).applyInPandas(_rank_block, "e string, tail string, after_n bigint, after_d bigint")
-        # rulers: the lists' last entries and one entry in RULER_SPACING; the others run to the next ruler
-        ruler = F.col("to").isNull() | (F.pmod(F.xxhash64("e", F.lit(level)), F.lit(RULER_SPACING)) == 0)
+        # one entry in RULER_SPACING is a ruler; the others run to the next ruler or to the list's end, which names the tail
+        last = F.col("to").isNull()
+        ruler = ~last & (F.pmod(F.xxhash64("e", F.lit(level)), F.lit(RULER_SPACING)) == 0)
         none = F.lit(None).cast("string")
         step, waiting = self.s.counted(
-            links.select("e", F.when(ruler, F.col("e")).alias("at"), F.when(~ruler, F.col("to")).alias("to"), F.when(ruler, 0).otherwise(F.col("n")).alias("n"), F.when(ruler, 0).otherwise(F.col("d")).alias("d")),
+            links.select("e", F.when(last | ruler, F.col("e")).alias("at"), F.when(~ruler, F.col("to")).alias("to"), F.when(ruler, 0).otherwise(F.col("n")).alias("n"), F.when(ruler, 0).otherwise(F.col("d")).alias("d"), "tail"),
             f"{name}-step0", F.col("at").isNull(),
         )
         steps = [step]
-        settled = lambda: functools.reduce(DataFrame.unionByName, (x.where("at is not null").select("e", "at", "n", "d") for x in steps))
+        settled = lambda: functools.reduce(DataFrame.unionByName, (x.where("at is not null").select("e", "at", "n", "d", "tail") for x in steps))
         # pointer doubling: those whose next entry is settled are settled, the rest jump. Each round's table holds only what was open before it
         while waiting:
             open_ = step.where("at is null").select("e", "to", "n", "d")
-            ahead = settled().select(F.col("e").alias("to"), F.col("at").alias("at2"), none.alias("to2"), F.col("n").alias("n2"), F.col("d").alias("d2"))
-            ahead = ahead.unionByName(open_.select(F.col("e").alias("to"), none.alias("at2"), F.col("to").alias("to2"), F.col("n").alias("n2"), F.col("d").alias("d2")))
-            jumped = open_.join(ahead, "to").select("e", F.col("at2").alias("at"), F.col("to2").alias("to"), (F.col("n") + F.col("n2")).alias("n"), (F.col("d") + F.col("d2")).alias("d"))
+            ahead = settled().select(F.col("e").alias("to"), F.col("at").alias("at2"), none.alias("to2"), F.col("n").alias("n2"), F.col("d").alias("d2"), "tail")
+            ahead = ahead.unionByName(open_.select(F.col("e").alias("to"), none.alias("at2"), F.col("to").alias("to2"), F.col("n").alias("n2"), F.col("d").alias("d2"), none.alias("tail")))
+            jumped = open_.join(ahead, "to").select("e", F.col("at2").alias("at"), F.col("to2").alias("to"), (F.col("n") + F.col("n2")).alias("n"), (F.col("d") + F.col("d2")).alias("d"), "tail")
             step, waiting = self.s.counted(jumped, f"{name}-step{len(steps)}", F.col("at").isNull())
             steps.append(step)
-        # the list of rulers: each stands for its own entry and the run after it
+        # the lists of rulers: each stands for its own entry and the run after it, the last of a list for all that follows
         done = settled()
-        runs = done.select(F.col("e").alias("to"), "at", F.col("n").alias("n2"), F.col("d").alias("d2"))
+        runs = done.select(F.col("e").alias("to"), "at", F.col("n").alias("n2"), F.col("d").alias("d2"), "tail")
         short = keep(
-            links.where(ruler).join(runs, "to", "left").select("e", F.col("at").alias("to"), (F.col("n") + F.coalesce("n2", F.lit(0))).alias("n"), (F.col("d") + F.coalesce("d2", F.lit(0))).alias("d")),
+            links.where(ruler).drop("tail").join(runs, "to").select("e", F.when(F.col("tail").isNull(), F.col("at")).alias("to"), (F.col("n") + F.col("n2")).alias("n"), (F.col("d") + F.col("d2")).alias("d"), "tail"),
             name + "-short",
         )
-        top = keep(self._rank(short, level + 1), name + "-top").withColumnRenamed("e", "at")
-        out = keep(done.join(top, "at").select("e", "tail", (F.col("n") + F.col("after_n")).alias("after_n"), (F.col("d") + F.col("after_d")).alias("after_d")), name + "-all")
+        top = keep(self._rank(short, level + 1).withColumnRenamed("e", "at"), name + "-top")
+        before = done.where("tail is null").drop("tail").join(top, "at").select("e", "tail", (F.col("n") + F.col("after_n")).alias("after_n"), (F.col("d") + F.col("after_d")).alias("after_d"))
+        out = keep(done.where("tail is not null").select("e", "tail", F.col("n").alias("after_n"), F.col("d").alias("after_d")).unionByName(before), name + "-all")
         self.s.drop(*(f"{name}-step{i}" for i in range(len(steps))), name + "-short", name + "-top", f"rank{level + 1}-all")
         return out
 
@@ -383,4 +386,4 @@ def _rank_block(one: pd.DataFrame) -> pd.DataFrame:
         sum_n, sum_d = sum_n + sum_n[nxt], sum_d + sum_d[nxt]
         nxt = nxt[nxt]
     # the end's own weight counts once
-    return pd.DataFrame({"e": names, "tail": names[nxt], "after_n": sum_n + own_n[nxt], "after_d": sum_d + own_d[nxt]})
+    return pd.DataFrame({"e": names, "tail": one["tail"].to_numpy()[nxt], "after_n": sum_n + own_n[nxt], "after_d": sum_d + own_d[nxt]})

@@ -113,6 +113,22 @@ def test_hot_parent_and_rulers(spark, monkeypatch):
     check(spark, rows)
 
 
+def test_more_trees_than_the_last_list_holds(spark, monkeypatch):
+    """Trees without rulers, single nodes among them, leave the ranking; before, it went on for ever."""
+    monkeypatch.setattr(hierarchy, "LAST_LIST", 5)
+    rank, levels = hierarchy.Hierarchy._rank, []
+
+    def bounded(self, links, level):
+        levels.append(level)
+        assert level < 8, "the lists of rulers don't get shorter"
+        return rank(self, links, level)
+
+    monkeypatch.setattr(hierarchy.Hierarchy, "_rank", bounded)
+    rows = [(f"r{i:02}", []) for i in range(30)] + [(f"c{i:02}", [f"r{i:02}"]) for i in range(20)] + [(f"d{i:03}", [f"d{i - 1:03}" if i else "c03"]) for i in range(150)]
+    check(spark, rows + [("t", ["c01", "c02"]), ("u", ["t"])])
+    assert max(levels) > 1
+
+
 def test_empty(spark):
     h = run(spark, [])
     assert h.paths().count() == 0 and h.descendants().count() == 0
