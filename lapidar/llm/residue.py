@@ -13,6 +13,7 @@ and the stock words of filler generators.
 All of it is built-in expressions. Whether a line is content is settled by its first sentence that is, so evidence is
 sought in one sentence of most documents only. What is shuffled are hashes of lines, once for each distinct text, and
 counts aggregated map-side; only documents without content, or whose first content recurs, have lines exploded.
+Texts whose first two content lines both recur are read on, to their first content that doesn't.
 """
 
 from __future__ import annotations
@@ -100,6 +101,11 @@ def _key(line: Column) -> Column:
     return F.struct(F.xxhash64(k).alias("a"), F.xxhash64(k, F.lit(1)).alias("b"))
 
 
+def _hash() -> Column:
+    """A text as two hashes."""
+    return F.struct(F.xxhash64("text").alias("a"), F.xxhash64("text", F.lit(1)).alias("b"))
+
+
 def _bare(s: Column) -> Column:
     """In small letters without accents."""
     return F.translate(F.regexp_replace(F.lower(s), r"[\x{300}-\x{36f}]+", ""), _ACCENTED, _BARE)
@@ -173,8 +179,8 @@ def _content(line: Column) -> Column:
 
 def _analysed(df: DataFrame, key: str) -> DataFrame:
     """(key, source, h, keys, first, second, raw): each row's text by hash, its lines' hashes, its first two content lines', and the lines where none is content."""
-    rows = df.select(key, F.coalesce("source", F.lit("")).alias("source"), F.struct(F.xxhash64("text").alias("a"), F.xxhash64("text", F.lit(1)).alias("b")).alias("h"), _lines(F.col("text")).alias("lines"))
-    # nothing after the second content line is looked at
+    rows = df.select(key, F.coalesce("source", F.lit("")).alias("source"), _hash().alias("h"), _lines(F.col("text")).alias("lines"))
+    # two suffice for most texts; _recurrent reads on where both recur
     none = F.array().cast("array<string>")
     two = F.aggregate("lines", none, lambda acc, l: F.when(F.size(acc) == 2, acc).when(~F.array_contains(acc, l) & _content(l), F.concat(acc, F.array(l))).otherwise(acc))
     rows = rows.withColumn("two", two)
@@ -182,23 +188,40 @@ def _analysed(df: DataFrame, key: str) -> DataFrame:
     return rows.select(key, "source", "h", F.transform("lines", _key).alias("keys"), F.when(first.isNotNull(), _key(first)).alias("first"), F.when(F.size("two") == 2, _key(F.get("two", F.lit(1)))).alias("second"), F.when(first.isNull(), F.col("lines")).alias("raw"))
 
 
-def _recurrent(rows: DataFrame, recur_docs: int, keep) -> DataFrame:
+def _recurrent(df: DataFrame, rows: DataFrame, recur_docs: int, keep) -> DataFrame:
     """(source, line, docs, beside): lines in enough different texts of a host, and how many of these texts hold content that doesn't recur."""
     texts = keep(rows.where(F.size("keys") > 0).groupBy("source", "h").agg(F.first("keys").alias("keys"), F.first("first").alias("first"), F.first("second").alias("second")), "texts")
     hosts = texts.groupBy("source").agg(F.count("*").alias("texts"))
     lines = texts.select("source", F.explode(F.array_distinct("keys")).alias("line"))
     often = lines.groupBy("source", "line").agg(F.count("*").alias("docs")).where(F.col("docs") >= recur_docs)
     often = keep(often.join(hosts, "source").where(F.col("docs") >= RECUR_SHARE * F.col("texts")).select("source", "line", "docs"), "often")
+    further = keep(_further(df, texts, often, keep), "further")
     for c in ("first", "second"):
         texts = texts.join(often.select("source", F.col("line").alias(c), F.lit(True).alias("recurs")), ["source", c], "left").withColumn(c, F.when(F.col("recurs").isNull(), F.col(c))).drop("recurs")
-    texts = texts.select("source", (F.col("first").isNotNull() | F.col("second").isNotNull()).alias("content"), F.explode(F.array_distinct("keys")).alias("line"))
+    texts = texts.join(further.withColumn("further", F.lit(True)), ["source", "h"], "left")
+    texts = texts.select("source", (F.col("first").isNotNull() | F.col("second").isNotNull() | F.col("further").isNotNull()).alias("content"), F.explode(F.array_distinct("keys")).alias("line"))
     return texts.join(often, ["source", "line"]).groupBy("source", "line").agg(F.first("docs").alias("docs"), F.count_if("content").alias("beside"))
 
 
+def _further(df: DataFrame, texts: DataFrame, often: DataFrame, keep) -> DataFrame:
+    """(source, h): of the texts whose first two content lines recur, those with content further on that doesn't."""
+    unsure = texts.where("second is not null").select("source", "h", "first", "second")
+    for c in ("first", "second"):
+        unsure = unsure.join(often.select("source", F.col("line").alias(c)), ["source", c], "left_semi")
+    unsure = keep(unsure.select("source", "h"), "unsure")
+    if unsure.isEmpty():
+        return unsure
+    places = texts.select("source", "h", "keys").join(unsure, ["source", "h"], "left_semi").select("source", "h", F.posexplode("keys").alias("place", "line"))
+    places = places.join(often, ["source", "line"], "left_anti").groupBy("source", "h").agg(F.sort_array(F.collect_list("place")).alias("places"))
+    whole = df.select(F.coalesce("source", F.lit("")).alias("source"), _hash().alias("h"), "text").join(unsure, ["source", "h"], "left_semi")
+    whole = whole.groupBy("source", "h").agg(F.first("text").alias("text")).join(places, ["source", "h"])
+    return whole.where(_bound(_lines(F.col("text")), lambda lines: F.exists("places", lambda i: _content(F.get(lines, i))))).select("source", "h")
+
+
 def boilerplate(df: DataFrame, recur_docs: int = RECUR_DOCS) -> DataFrame:
     """(source, line struct<a, b>, docs, beside): lines that recur in different texts of a host, by their hashes, and how many of these texts hold other content. A null source is a host of its own."""
     keep = Scratch(df.sparkSession).keep
-    return _recurrent(keep(_analysed(df.select("source", "text", F.lit(0).alias("doc_id")), "doc_id"), "rows"), recur_docs, keep)
+    return _recurrent(df, keep(_analysed(df.select("source", "text", F.lit(0).alias("doc_id")), "doc_id"), "rows"), recur_docs, keep)
 
 
 def residue(df: DataFrame, recur_docs: int = RECUR_DOCS) -> DataFrame:
@@ -209,7 +232,7 @@ def residue(df: DataFrame, recur_docs: int = RECUR_DOCS) -> DataFrame:
     """
     keep = Scratch(df.sparkSession).keep
     rows = keep(_analysed(df, "doc_id"), "rows")
-    common = keep(_recurrent(rows, recur_docs, keep), "recurrent")
+    common = keep(_recurrent(df, rows, recur_docs, keep), "recurrent")
     bare = rows.where("raw is not null").select("doc_id", "source", F.col("h.a").alias("h"), F.explode("raw").alias("raw"))
     # documents whose first content recurs in their host: the rest of their lines decides
     again = keep(rows.where("first is not null").join(common.select("source", F.col("line").alias("first")), ["source", "first"], "left_semi").select("doc_id"), "again")

@@ -30,6 +30,21 @@ def test_counts_by_host_decide(spark):
     assert set(found(spark, rows, recur_docs=10**9)) == {30, 31, *range(40, 45)}
 
 
+def test_content_after_two_standing_sentences(spark):
+    """All of a text tells whether standing sentences stand beside content, not only its first two content lines."""
+    standing = "The portal of the state museums shows pictures and finds from all parts of the country.\nThe collections were brought together by four generations of curators and their friends."
+    rows = [(i, f"{standing}\nBronze fibula\nThe {w} was cut into the rock before the wall was built.", "museum", None) for i, w in enumerate("well tomb gate road".split())]
+    rows += [(10, f"{standing}\nPage not found.", "museum", None), (11, f"{standing}\nPage not found.", "elsewhere", None)]
+    # the first two content lines differ in a number only, and others recur before content comes
+    counted = "\n".join(f"Room {i} of the museum is shown on the plan of the house." for i in range(3))
+    rows += [(20 + i, f"{counted}\n{standing}\nThe {w} was cut into the rock before the wall was built.", "gallery", None) for i, w in enumerate("well tomb gate road".split())]
+    rows += [(30, f"{counted}\nPage not found.", "gallery", None)]
+    # nothing but standing sentences further on: no content beside them
+    rows += [(40 + i, f"{standing}\nThe rooms are open to all visitors on every day of the week.\nRoom {w}", "annex", None) for i, w in enumerate("east west north south".split())]
+    rows += [(50, f"{standing}\nPage not found.", "annex", None)]
+    assert set(found(spark, rows)) == {10, 30}
+
+
 def test_copies_of_one_text_are_one(spark):
     rows = [(i, "The portal of the museums shows finds from all parts of the country.\nPage not found.", "museum", None) for i in range(5)]
     assert found(spark, rows) == {}
